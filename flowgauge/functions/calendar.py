@@ -57,7 +57,7 @@ def _start_as(key: Column, granularity: str) -> Column:
     return F.when(key.rlike(_MONTH_SHAPE), ntz(_day(F.concat(key, F.lit("-01")))))
 
 
-def _format_name(key: Column) -> Column:
+def format_name(key: Column) -> Column:
     return (
         F.when(key.contains("T"), "hourly")
         .when(key.rlike(_WEEK_SHAPE), "weekly")
@@ -76,11 +76,11 @@ def is_valid_key(key: Column, granularity: Column) -> Column:
 
 def partition_start(key: Column) -> Column:
     """UTC start of the partition ``key`` names, whatever its format; null for anything that is no key."""
-    return key_start_as(key, _format_name(key))
+    return F.coalesce(*[_start_as(key, name) for name in GRANULARITIES])
 
 
 def detect_granularity(key: Column) -> Column:
-    return F.when(partition_start(key).isNotNull(), _format_name(key))
+    return F.when(partition_start(key).isNotNull(), format_name(key))
 
 
 def partition_date(key: Column) -> Column:

@@ -105,8 +105,9 @@ def flatten_conditions(specs: DataFrame, column: str, kind: str = "schedule") ->
         level = _classified(root, True).withColumn("problem", F.coalesce(
             "problem", F.when(F.col("op") == "leaf", "a schedule must be a group")))
     while True:
+        level = cut_lineage(level)
         done.append(level.select(*_NODE_COLUMNS))
-        children = cut_lineage(_members(level.where("problem IS NULL AND members IS NOT NULL")))
+        children = _members(level.where("problem IS NULL AND members IS NOT NULL"))
         if children.isEmpty():
             break
         level = _classified(children, kind == "schedule")

@@ -40,12 +40,14 @@ def _given(text: Column) -> Column:
 def normalize_facts(raw: DataFrame) -> DataFrame:
     """Raw fact rows, old or new, with one key, date and granularity; ``readable`` is false where any is bad."""
     key = F.coalesce(_given(F.col("partition_key")), _given(F.col("execution_date")), F.lit(""))
+    keyed = raw.withColumn("partition_key", key).withColumn("_start", cal.partition_start(F.col("partition_key")))
     written = _given(F.col("partition_date").cast("string"))
     strict = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(written, F.lit("yyyy-MM-dd")).cast("date"))
-    day = F.when(written.isNotNull(), strict).otherwise(cal.partition_date(key))
-    granularity = F.coalesce(_given(F.col("granularity")), cal.detect_granularity(key))
+    day = F.when(written.isNotNull(), strict).otherwise(F.col("_start").cast("date"))
+    detected = F.when(F.col("_start").isNotNull(), cal.format_name(F.col("partition_key")))
+    granularity = F.coalesce(_given(F.col("granularity")), detected)
     known = F.when(granularity.isin(*cal.GRANULARITIES), granularity)
-    return raw.withColumns({"partition_key": key, "partition_date": day, "granularity": known}).withColumn(
+    return keyed.withColumns({"partition_date": day, "granularity": known}).drop("_start").withColumn(
         "readable", F.col("partition_date").isNotNull() & F.col("granularity").isNotNull()
         & F.col("asset_name").isNotNull() & F.col(FACT_TIME).isNotNull())
 

@@ -283,7 +283,7 @@ _LEAVES["v_grid"] = """SELECT s.*, target_date, target_date::TIMESTAMP + INTERVA
 
 
 @query("g14_evaluate_conditions", """
-    SELECT spec_id, target_date::VARCHAR AS target_date, ready, (CASE WHEN ready THEN at END)::VARCHAR AS enabled_at
+    SELECT spec_id, target_date::VARCHAR AS target_date, ready, (CASE WHEN ready THEN "at" END)::VARCHAR AS enabled_at
     FROM v_root""", **_LEAVES)
 def _(v):
     tree = nodes(v)
