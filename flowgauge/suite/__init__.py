@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "rules", "runs", "facts")
+MODULES = ("scalars", "rules", "runs", "facts", "deadlines", "state")
 
 
 def load() -> None:

@@ -113,7 +113,7 @@ VIEWS: dict[str, str] = {
         SELECT o_custkey AS backfill_id, o_orderkey AS item, strftime(o_orderdate, '%Y-%m-%d') AS partition_key,
           CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'pending' END AS outcome,
           o_custkey % 29 = 0 AS canceled, CAST(o_orderkey % 4 AS INTEGER) AS tier, o_orderkey % 6 = 0 AS reused,
-          o_orderdate + to_seconds(o_orderkey % 86400) AS at FROM orders""",
+          o_orderdate + to_seconds(o_orderkey % 86400) AS "at" FROM orders""",
     "v_backfills": """
         SELECT backfill_id, 'pl_' || (backfill_id % 20) AS target_pipeline,
           CASE WHEN backfill_id % 29 = 0 THEN 'canceled' WHEN backfill_id % 3 = 0 THEN 'running'
@@ -126,7 +126,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN backfill_id % 4 = 1 THEN backfill_id - 1 END AS parent_id,
           CASE WHEN backfill_id % 5 = 0 THEN 'all' ELSE 'auto' END AS cascade
         FROM (SELECT backfill_id, min(partition_key) AS first_key, max(partition_key) AS last_key,
-                min(at) AS started_at, max(at) AS finished_at, count(*) AS total,
+                min("at") AS started_at, max("at") AS finished_at, count(*) AS total,
                 count(*) FILTER (outcome = 'completed') AS completed, count(*) FILTER (outcome = 'failed') AS failed
               FROM v_outcomes GROUP BY 1)""",
     "v_task_events": """
@@ -136,14 +136,14 @@ VIEWS: dict[str, str] = {
             WHEN 'purchase' THEN 'TASK_RETRY_STARTED' WHEN 'error' THEN 'TASK_FINISHED' ELSE 'MANUAL_DECISION' END
             AS event_type FROM events""",
     "v_run_events": """
-        SELECT user_id AS run_id, event_id, ts AS at, CASE WHEN event_type = 'click' THEN 'pause' ELSE 'resume' END
+        SELECT user_id AS run_id, event_id, ts AS "at", CASE WHEN event_type = 'click' THEN 'pause' ELSE 'resume' END
           AS action FROM events WHERE event_type IN ('click', 'view')""",
     "v_row_log": """
         SELECT run_id, task_no, seq, old_status, new_status, writer, kind, generation_before,
           generation_before + raise AS generation_after, run_id % 103 <> 0 AS conditional,
           run_id % 103 <> 0 AS checks_run_version,
           CASE WHEN (run_id + task_no) % 107 = 0 THEN 9 ELSE generation_before END AS writer_generation,
-          started_at + to_minutes(seq) AS at FROM (
+          started_at + to_minutes(seq) AS "at" FROM (
         SELECT *, CASE WHEN seq = 5 AND status IN ('skipped', 'stopped') AND run_id % 10 <> 0 THEN 2 ELSE 1 END
             AS generation_before FROM (
           SELECT run_id, task_no, status, started_at, 1 AS seq, NULL AS old_status, 'waiting' AS new_status,
