@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "rules", "runs", "facts", "deadlines", "state")
+MODULES = ("scalars", "rules", "runs", "facts", "deadlines", "state", "graphs")
 
 
 def load() -> None:

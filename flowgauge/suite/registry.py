@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from flowgauge.suite.sql_views import oracle
+from flowgauge.suite.sql_views import oracle, recursive
 from flowgauge.suite.views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,15 +24,18 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def query(name: str, sql: str | None = None, **extra: str):
-    """Register ``build(views)`` under ``name``; ``sql`` is its DuckDB twin over the derived views."""
+def query(name: str, sql: str | None = None, walk: str | None = None, **extra: str):
+    """Register ``build(views)`` under ``name``; ``sql`` is its DuckDB twin over the derived views.
+
+    ``walk`` is the body of a recursive table the twin reads under that name.
+    """
 
     def register(build: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: flat(build(Views(spark, sf_dir)))
         if sql is not None:
-            ORACLES[name] = oracle(sql, **extra)
+            ORACLES[name] = recursive(walk, sql, **extra) if walk else oracle(sql, **extra)
         return build
 
     return register

@@ -162,7 +162,7 @@ VIEWS: dict[str, str] = {
             CASE WHEN status IN ('skipped','stopped') AND run_id % 10 <> 0 THEN 1 ELSE 0 END
             FROM v_tasks WHERE status NOT IN ('waiting','running')
           UNION ALL SELECT run_id, task_no, status, started_at, 5, status, 'waiting', 'console', 'action', 1
-            FROM v_tasks WHERE run_id % 23 = 0 AND status NOT IN ('waiting','running'))))""",
+            FROM v_tasks WHERE run_id % 23 = 0 AND status NOT IN ('waiting','running')))""",
     "v_pauses": """
         SELECT run_id, 1 AS pos, started_at + to_minutes(10) AS p_start,
                started_at + to_minutes(10 + (pipeline_no % 4) * 5) AS p_end FROM v_heads
@@ -258,6 +258,13 @@ VIEWS: dict[str, str] = {
 _NAME = re.compile(r"\bv_[a-z_]+\b")
 
 
+def recursive(walk: str, sql: str, **extra: str) -> str:
+    """An oracle whose query reads ``walk``, a recursive table over the derived views."""
+    mark = "--walk--"
+    head, tail = oracle(f"{mark}{walk}{mark}{sql}", **extra).split(mark)[0], sql.strip()
+    return f"{head.rstrip()},\nwalk AS ({walk.strip()})\n{tail}"
+
+
 def oracle(sql: str, **extra: str) -> str:
     """``sql`` below the views it names, each written out as a named subquery."""
     known = {**VIEWS, **extra}
