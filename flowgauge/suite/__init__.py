@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "rules", "runs", "facts", "deadlines", "state", "graphs", "feeds", "catalog")
+MODULES = ("scalars", "rules", "runs", "facts", "deadlines", "state", "graphs", "feeds", "catalog", "streams")
 
 
 def load() -> None:

@@ -43,6 +43,36 @@ def minutes(n) -> str:
     return f"make_dt_interval(0, 0, {n}, 0)"
 
 
+def facts_of(events: DataFrame) -> DataFrame:
+    """The facts an event table (or stream) stands for."""
+    granularity = F.expr(
+        "CASE event_type WHEN 'click' THEN 'hourly' WHEN 'signup' THEN 'weekly' WHEN 'error' THEN 'monthly'"
+        " ELSE 'daily' END")
+    kept = events.withColumn("granularity", granularity).where(
+        "CASE granularity WHEN 'monthly' THEN true WHEN 'weekly' THEN weekofyear(ts) % 3 <> 0"
+        " ELSE (day(ts) * 7 + length(event_type)) % 5 <> 0 END")
+    return kept.select(
+        "event_id", F.col("event_type").alias("asset_name"), F.col("ts").alias("event_time"), "granularity",
+        cal.format_key(F.col("ts"), F.col("granularity")).alias("partition_key"),
+        cal.floor_to_bucket(F.col("ts"), F.col("granularity")).cast("date").alias("partition_date"),
+        F.expr("CASE event_id % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'all' ELSE 'auto' END").alias("cascade"),
+        F.expr("concat('p', user_id % 7)").alias("source_dag"),
+    )
+
+
+def raw_facts_of(facts: DataFrame) -> DataFrame:
+    """Facts as writers of all ages left them: missing keys, broken keys, loose dates."""
+    return facts.selectExpr(
+        "event_id", "asset_name", "event_time", "cascade", "source_dag",
+        "CASE WHEN event_id % 53 = 0 THEN '2024-02-31' WHEN event_id % 59 = 0 THEN 'latest'"
+        " WHEN event_id % 7 = 0 THEN NULL ELSE partition_key END AS partition_key",
+        "partition_key AS execution_date",
+        "CASE WHEN event_id % 61 = 0 THEN NULL ELSE granularity END AS granularity",
+        "CASE WHEN event_id % 3 = 0 THEN date_format(partition_date, 'yyyy-MM-dd')"
+        " WHEN event_id % 67 = 0 THEN '20240131' END AS partition_date",
+    )
+
+
 class Views:
     """The derived tables of one data folder."""
 
@@ -120,31 +150,11 @@ class Views:
 
     @cached_property
     def facts(self) -> DataFrame:
-        granularity = F.expr(
-            "CASE event_type WHEN 'click' THEN 'hourly' WHEN 'signup' THEN 'weekly' WHEN 'error' THEN 'monthly'"
-            " ELSE 'daily' END")
-        kept = self.table("events").withColumn("granularity", granularity).where(
-            "CASE granularity WHEN 'monthly' THEN true WHEN 'weekly' THEN weekofyear(ts) % 3 <> 0"
-            " ELSE (day(ts) * 7 + length(event_type)) % 5 <> 0 END")
-        return kept.select(
-            "event_id", F.col("event_type").alias("asset_name"), F.col("ts").alias("event_time"), "granularity",
-            cal.format_key(F.col("ts"), F.col("granularity")).alias("partition_key"),
-            cal.floor_to_bucket(F.col("ts"), F.col("granularity")).cast("date").alias("partition_date"),
-            F.expr("CASE event_id % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'all' ELSE 'auto' END").alias("cascade"),
-            F.expr("concat('p', user_id % 7)").alias("source_dag"),
-        )
+        return facts_of(self.table("events"))
 
     @cached_property
     def raw_facts(self) -> DataFrame:
-        return self.facts.selectExpr(
-            "event_id", "asset_name", "event_time", "cascade", "source_dag",
-            "CASE WHEN event_id % 53 = 0 THEN '2024-02-31' WHEN event_id % 59 = 0 THEN 'latest'"
-            " WHEN event_id % 7 = 0 THEN NULL ELSE partition_key END AS partition_key",
-            "partition_key AS execution_date",
-            "CASE WHEN event_id % 61 = 0 THEN NULL ELSE granularity END AS granularity",
-            "CASE WHEN event_id % 3 = 0 THEN date_format(partition_date, 'yyyy-MM-dd')"
-            " WHEN event_id % 67 = 0 THEN '20240131' END AS partition_date",
-        )
+        return raw_facts_of(self.facts)
 
     @cached_property
     def targets(self) -> DataFrame:
