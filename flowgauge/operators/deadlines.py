@@ -89,16 +89,21 @@ def liveness_check() -> Column:
     return since + timing.seconds(timing.check_backoff_seconds(F.col("checks")))
 
 
+def work_due_time() -> Column:
+    """When started work is next looked at: a failed start's next try, else its liveness check."""
+    next_try = start_deadlines()["next_try"]
+    held = (F.col("status") == "deps_ready") & is_paused(F.col("pauses"))
+    tried = F.when(F.col("status") == "deps_ready", next_try)
+    return F.when(F.col("status").isin("deps_ready", "running") & ~held, F.coalesce(tried, liveness_check()))
+
+
 def due_time() -> Column:
     """A row's next due time by its status; null where only other rows or a resume can move it."""
     status = F.col("status")
-    start = start_deadlines()["next_try"]
     return (
         F.when(status == "waiting", F.coalesce(F.col("countdown_end"), wait_deadline()))
-        .when((status == "deps_ready") & is_paused(F.col("pauses")), F.lit(None))
-        .when(status == "deps_ready", F.coalesce(start, liveness_check()))
-        .when(status == "running", liveness_check())
         .when(status == "waiting_decision", decision_deadline())
+        .otherwise(work_due_time())
     )
 
 
@@ -208,8 +213,7 @@ def fair_quota(rows: DataFrame, now: Column, total: int = 200) -> DataFrame:
     """The started rows a sweep looks at: the longest due first, a quarter of the total per run at most, and a quarter
     kept in hand. Runs are served in due order, so only as many runs as there are calls can be reached at all."""
     share, usable = max(1, total // 4), total - total // 4
-    timed = rows.where(F.col("status").isin("deps_ready", "running")).withColumn("due_at", due_time()).where(
-        F.col("due_at") <= now)
+    timed = rows.select("run_id", "task_no", work_due_time().alias("due_at")).where(F.col("due_at") <= now)
     mine = Window.partitionBy("run_id").orderBy("due_at", "task_no")
     capped = timed.withColumn("n", F.row_number().over(mine)).where(F.col("n") <= share)
     runs = capped.groupBy("run_id").agg(F.min("due_at").alias("run_due"), F.count("*").alias("wanted"))

@@ -165,3 +165,15 @@ def test_cycle_ends_a_plan(spark):
         assert "cycle" in str(error)
     else:
         raise AssertionError("a cycle must be reported")
+
+
+def test_pointers_are_followed(spark, tmp_path):
+    (tmp_path / "bucket").mkdir()
+    (tmp_path / "bucket" / "7.json").write_text('{"rows":\n7}')
+    from flowgauge.operators import outputs
+
+    rows = spark.createDataFrame(
+        [(1, '{"_s3_ref":"store://bucket/7.json"}'), (2, '{"_s3_ref":"store://bucket/8.json"}'), (3, '{"a":1}')],
+        "run_id long, result string")
+    got = {r.run_id: r.document for r in outputs.dereference(spark, rows, str(tmp_path)).collect()}
+    assert got == {1: '{"rows":\n7}', 2: None}
