@@ -8,7 +8,7 @@ from flowgauge.functions import text, timing, vocab
 
 # Key prefixes of internal rows, the markers of backfill records, and a task row's readiness fields.
 INTERNAL_PREFIXES = ("_", "output#", "input#", "dag_snapshot::")
-BACKFILL_SENTINEL = "_polyris_bulk_backfill"
+BACKFILL_PIPELINE = r"^_.*bulk_backfill$"
 READINESS_KEYS = ("dependencies", "trigger_rule", "orchestration_timeout", "wait_before", "wait_for")
 READINESS_REQUIRED = ("dependencies", "trigger_rule")
 PUSH_MAX_BYTES = 350_000
@@ -21,7 +21,7 @@ def task_rows_only(rows: DataFrame) -> DataFrame:
     for prefix in INTERNAL_PREFIXES[1:]:
         internal = internal | name.startswith(prefix)
     backfill = (F.coalesce("record_type", F.lit("")) == "backfill") | (
-        F.coalesce("pipeline_name", F.lit("")) == BACKFILL_SENTINEL)
+        F.coalesce("pipeline_name", F.lit("")).rlike(BACKFILL_PIPELINE))
     return rows.where(~internal & ~backfill)
 
 

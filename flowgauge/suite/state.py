@@ -18,7 +18,7 @@ def _(v):
         "concat(element_at(array('_run_', 'output#', 'input#', 'dag_snapshot::', 'x', 'y', 'my_', 'a#', 'b', 'c'),"
         " cast((run_id + task_no) % 10 AS int) + 1), run_id) AS execution_name",
         "CASE WHEN (run_id + task_no) % 10 = 4 THEN 'backfill' END AS record_type",
-        f"CASE WHEN (run_id + task_no) % 10 = 5 THEN '{state.BACKFILL_SENTINEL}' ELSE pipeline END AS pipeline_name")
+        "CASE WHEN (run_id + task_no) % 10 = 5 THEN '_bulk_backfill' ELSE pipeline END AS pipeline_name")
     return state.task_rows_only(mixed).select("run_id", "task_no")
 
 
