@@ -40,14 +40,18 @@ def _given(text: Column) -> Column:
 def normalize_facts(raw: DataFrame) -> DataFrame:
     """Raw fact rows, old or new, with one key, date and granularity; ``readable`` is false where any is bad."""
     key = F.coalesce(_given(F.col("partition_key")), _given(F.col("execution_date")), F.lit(""))
-    keyed = raw.withColumn("partition_key", key).withColumn("_start", cal.partition_start(F.col("partition_key")))
+    # One element, one lambda: the key is read once however often the calendar's branches name it.
+    reading = F.transform(F.array(key), lambda k: F.struct(
+        k.alias("key"), cal.partition_start(k).cast("date").alias("day"), cal.format_name(k).alias("shape")))
+    keyed = raw.withColumn("_read", F.get(reading, F.lit(0)))
     written = _given(F.col("partition_date").cast("string"))
     strict = F.when(written.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(written, F.lit("yyyy-MM-dd")).cast("date"))
-    day = F.when(written.isNotNull(), strict).otherwise(F.col("_start").cast("date"))
-    detected = F.when(F.col("_start").isNotNull(), cal.format_name(F.col("partition_key")))
+    day = F.when(written.isNotNull(), strict).otherwise(F.col("_read.day"))
+    detected = F.when(F.col("_read.day").isNotNull(), F.col("_read.shape"))
     granularity = F.coalesce(_given(F.col("granularity")), detected)
     known = F.when(granularity.isin(*cal.GRANULARITIES), granularity)
-    return keyed.withColumns({"partition_date": day, "granularity": known}).drop("_start").withColumn(
+    return keyed.withColumns({
+        "partition_key": F.col("_read.key"), "partition_date": day, "granularity": known}).drop("_read").withColumn(
         "readable", F.col("partition_date").isNotNull() & F.col("granularity").isNotNull()
         & F.col("asset_name").isNotNull() & F.col(FACT_TIME).isNotNull())
 
