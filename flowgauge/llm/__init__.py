@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "exact_dedup", "packing", "secrets")
+MODULES = ("mixing", "quality", "exact_dedup", "packing", "near_dedup", "secrets")
 
 
 def load() -> None:

@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
                        pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(kept, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return support.by_batch(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), run, schema)
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -268,6 +268,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int
             offset[held] = np.cumsum(length[held]) - length[held]
         return pa.table({"number": number, "sequence_id": sequence, "offset": offset})
 
+    support.ship(docs.sparkSession)
     placed = slim.groupBy("shard").applyInArrow(pack, "number long, sequence_id long, offset long")
     alone = whole.withColumn("sequence_id", -F.col("number") - 1).withColumn("offset", F.lit(0).cast("long"))
     return part.join(placed, "number").select(*alone.columns).unionByName(alone).drop("number")

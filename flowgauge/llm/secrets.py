@@ -232,7 +232,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str =
                 pa.array([[b for _, _, b in hits] for hits in found], pa.list_(pa.int64())),
             ], names=schema.names)
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return support.by_batch(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), run, schema)
 
 
 def digest(hits: list[tuple[str, int, int]]) -> str:

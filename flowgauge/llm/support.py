@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: A group with more than one row in HOT_SHARE is hot; so there are fewer than HOT_SHARE hot groups, whatever the input.
 HOT_SHARE = 10_000
+_SHIPPED: set[str] = set()
 #: Bytes between words: space and the control characters 9 to 13.
 SPACES = r"\x20\x09-\x0D"
 
@@ -41,6 +45,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package known to Python on the executors, once for each Spark application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    where = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark, 'code')}/{root.name}.zip")
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    context.addPyFile(where.toString())
+    _SHIPPED.add(context.applicationId)
+
+
+def by_batch(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def crc_rest(key: Column, modulus: int) -> Column:
     """crc32 of a key's text, modulo ``modulus``; a missing key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
