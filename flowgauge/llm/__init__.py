@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "quality", "exact_dedup", "packing", "warc", "near_dedup", "secrets")
+MODULES = ("mixing", "quality", "exact_dedup", "packing", "topk", "warc", "near_dedup", "secrets")
 
 
 def load() -> None:
