@@ -6,7 +6,7 @@ the whole sequence is its one shingle; without words it has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -47,11 +47,17 @@ def coded_words(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     return vocabulary, which, bounds
 
 
-def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts, clean: Callable[[str], str] = str) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word in turn, after ``clean``, and each text's bounds; words that it leaves empty are left out."""
     import xxhash
 
     vocabulary, which, bounds = coded_words(texts)
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in vocabulary), np.uint64, len(vocabulary))
+    words = [clean(w) for w in vocabulary]
+    if "" in words:
+        real = np.fromiter((w != "" for w in words), bool, len(words))[which]
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        which = which[real]
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
     return (hashed[which] if len(which) else np.zeros(0, np.uint64)), bounds
 
 
