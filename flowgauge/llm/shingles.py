@@ -41,9 +41,12 @@ def coded_words(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     bounds = bounds - bounds[0]
     vocabulary = coded.dictionary.to_pylist()
     if "" in vocabulary:  # from spaces at an end of a text
-        real = which != vocabulary.index("")
+        nothing = vocabulary.index("")
+        real = which != nothing
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         which = which[real]
+        which = which - (which > nothing)
+        vocabulary.remove("")
     return vocabulary, which, bounds
 
 
