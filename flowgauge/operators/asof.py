@@ -41,6 +41,11 @@ def latest(targets: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("best.partition_date").alias("partition_date"), F.col("best.last_at").alias("event_time"))
 
 
+def _hours(hours: Column) -> Column:
+    """So many hours, parts of one included."""
+    return F.make_dt_interval(secs=(hours.cast("double") * 3600).cast("decimal(18,6)"))
+
+
 def within(targets: DataFrame, facts: DataFrame) -> DataFrame:
     """Freshness: the newest event of the latest date up to the target, at most ``hours`` old at ``now``.
 
@@ -57,7 +62,7 @@ def within(targets: DataFrame, facts: DataFrame) -> DataFrame:
         "asset_name", F.col("on").alias("target_date"), "day")
     joined = targets.join(found, ["asset_name", "target_date"], "left")
     newest = F.col("day.last_at")
-    fresh = F.coalesce(newest >= F.col("now") - F.make_dt_interval(F.lit(0), F.col("hours")), F.lit(False))
+    fresh = F.coalesce(newest >= F.col("now") - _hours(F.col("hours")), F.lit(False))
     return joined.select(
         *targets.columns, fresh.alias("ready"),
         F.when(newest.isNull(), "no_fact").when(fresh, "ok").otherwise("stale").alias("reason"),
@@ -145,7 +150,7 @@ def within_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
     found = last_event_before(
         dated.where("partition_date IS NOT NULL"), events, ["asset_name", "partition_date"], "cutoff", "event_time")
     joined = probes.join(found, ["asset_name", "target_date", "cutoff"], "left")
-    fresh = F.col("event_time") >= F.col("cutoff") - F.make_dt_interval(F.lit(0), F.col("hours"))
+    fresh = F.col("event_time") >= F.col("cutoff") - _hours(F.col("hours"))
     return joined.withColumn("ready", F.coalesce(fresh, F.lit(False)))
 
 

@@ -16,29 +16,29 @@ CHECK_EVERY_MINUTES = 30
 _OPEN = ("waiting", "deps_ready", "waiting_paused", "waiting_decision", "running", "pending")
 _WAITS = ("waiting", "waiting_paused")
 _NO_OUTCOME = tuple(s for s in vocab.TASK_STATUSES if s not in vocab.SUCCESSES)
-# The moves of a task row: name, statuses it may leave (None: no row yet), status it takes, writers,
+# The moves of a task row: statuses it may leave (None: no row yet), status it takes, writers,
 # and whether it wakes a pass.
 MOVES = (
-    ("create", (None,), "waiting", ("start_run",), False),
-    ("create_skipped", (None,), "skipped", ("start_run",), False),
-    ("hold", ("waiting",), "waiting_paused", ("dispatcher",), False),
-    ("release", ("waiting_paused",), "waiting", ("dispatcher",), False),
-    ("ready", _WAITS, "deps_ready", ("dispatcher",), False),
-    ("skip_by_rule", _WAITS, "skipped", ("dispatcher",), True),
-    ("block", _WAITS, "upstream_failed", ("dispatcher",), True),
-    ("fail_wait", _WAITS, "failed", ("dispatcher",), True),
-    ("fail_start", ("deps_ready",), "failed", ("dispatcher",), True),
-    ("run", ("deps_ready",), "running", ("run_task",), False),
-    ("succeed", ("running",), "success", ("run_task",), True),
-    ("ask", ("running",), "waiting_decision", ("run_task",), True),
-    ("fail_dead", ("deps_ready", "running"), "failed", ("dispatcher",), True),
-    ("fail_undecided", ("waiting_decision",), "failed", ("dispatcher",), True),
-    ("skip", _NO_OUTCOME, "skipped", ("console",), True),
-    ("mark_success", _NO_OUTCOME, "success", ("console",), True),
-    ("fail", _OPEN + ("waiting_delay",), "failed", ("console",), True),
-    ("stop", _OPEN + ("waiting_delay",), "stopped", ("console", "dispatcher"), True),
-    ("restart", vocab.FINAL + ("waiting_decision",), "waiting", ("console",), True),
-    ("reset", ("upstream_failed", "skipped"), "waiting", ("dispatcher",), True),
+    ((None,), "waiting", ("start_run",), False),
+    ((None,), "skipped", ("start_run",), False),
+    (("waiting",), "waiting_paused", ("dispatcher",), False),
+    (("waiting_paused",), "waiting", ("dispatcher",), False),
+    (_WAITS, "deps_ready", ("dispatcher",), False),
+    (_WAITS, "skipped", ("dispatcher",), True),
+    (_WAITS, "upstream_failed", ("dispatcher",), True),
+    (_WAITS, "failed", ("dispatcher",), True),
+    (("deps_ready",), "failed", ("dispatcher",), True),
+    (("deps_ready",), "running", ("run_task",), False),
+    (("running",), "success", ("run_task",), True),
+    (("running",), "waiting_decision", ("run_task",), True),
+    (("deps_ready", "running"), "failed", ("dispatcher",), True),
+    (("waiting_decision",), "failed", ("dispatcher",), True),
+    (_NO_OUTCOME, "skipped", ("console",), True),
+    (_NO_OUTCOME, "success", ("console",), True),
+    (_OPEN + ("waiting_delay",), "failed", ("console",), True),
+    (_OPEN + ("waiting_delay",), "stopped", ("console", "dispatcher"), True),
+    (vocab.FINAL + ("waiting_decision",), "waiting", ("console",), True),
+    (("upstream_failed", "skipped"), "waiting", ("dispatcher",), True),
 )
 
 
@@ -47,13 +47,13 @@ def _pair(old: Column, new: Column, *more: Column) -> Column:
 
 
 def _wakes() -> Column:
-    pairs = sorted({f"{old or '-'}>{to}" for _, sources, to, _, wakes in MOVES if wakes for old in sources})
+    pairs = sorted({f"{old or '-'}>{to}" for sources, to, _, wakes in MOVES if wakes for old in sources})
     return _pair(F.col("old_status"), F.col("new_status")).isin(*pairs)
 
 
 def illegal_moves(log: DataFrame) -> DataFrame:
     """Writes no transition of the table allows that writer; the table has a few dozen pairs, so it is a literal set."""
-    legal = sorted({f"{old or '-'}>{to}>{w}" for _, sources, to, writers, _ in MOVES for old in sources for w in writers})
+    legal = sorted({f"{old or '-'}>{to}>{w}" for sources, to, writers, _ in MOVES for old in sources for w in writers})
     move = _pair(F.col("old_status"), F.col("new_status"), F.col("writer"))
     changed = F.col("old_status").isNull() | (F.col("old_status") != F.col("new_status"))
     return log.where(changed & ~move.isin(*legal))

@@ -13,12 +13,15 @@ SIMPLE_TYPES = (
     "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string", "binary", "date", "time",
     "timestamp", "timestamp_ntz", "uuid", "json",
 )
-_NESTING = 12
+#: The innermost nested types of a text whose inner types are marks already; a structure may name a field once only.
+_INNER = (r"(array<#>|map<#,#>|struct<(?!(?:[^<>]*,)?([a-z_][a-z0-9_]*):#,(?:[^<>]*,)?\2:#[,>])"
+          r"[a-z_][a-z0-9_]*:#(?:,[a-z_][a-z0-9_]*:#)*>)")
 
 
 def canonical_type(text: Column) -> Column:
     """The canonical text of a declared type; null when it is none."""
     out = F.regexp_replace(F.lower(F.trim(text)), r"\s*([<>(),:])\s*", "$1")
+    out = F.regexp_replace(out, r"(?<=[<,])([a-z_][a-z0-9_]*)\s+(?=[a-z])", "$1:")
     for alias, name in TYPE_ALIASES.items():
         out = F.regexp_replace(out, rf"(?<![a-z0-9_]){alias}(?![a-z0-9_:])", name)
     out = F.regexp_replace(out, r"(?<![a-z0-9_])decimal\((\d+)\)", "decimal($1,0)")
@@ -34,9 +37,8 @@ def _is_type(text: Column) -> Column:
     scaled = F.forall(F.zip_with(scale, digits, lambda s, p: s.try_cast("int") <= p.try_cast("int")), lambda ok: ok)
     rest = F.regexp_replace(rest, r"(?<![a-z0-9_])(varchar|char|fixed_size_binary)\([1-9]\d*\)", "#")
     rest = F.regexp_replace(rest, rf"(?<![a-z0-9_])({'|'.join(sorted(SIMPLE_TYPES, reverse=True))})(?![a-z0-9_:(<])", "#")
-    inner = r"(array<#>|map<#,#>|struct<[a-z_][a-z0-9_]*:#(,[a-z_][a-z0-9_]*:#)*>)"
-    for _ in range(_NESTING):
-        rest = F.regexp_replace(rest, inner, "#")
+    levels = F.sequence(F.lit(0), F.length(rest) - F.length(F.replace(rest, F.lit("<"), F.lit(""))))  # one for each "<"
+    rest = F.aggregate(levels, rest, lambda text, _: F.regexp_replace(text, _INNER, "#"))
     return (rest == "#") & scaled
 
 
@@ -135,6 +137,5 @@ def fingerprint(specs: DataFrame) -> DataFrame:
     versions = specs.groupBy("version").agg(
         F.sort_array(F.collect_list(F.struct("task_id", "text_hash"))).alias("pairs"),
         (F.count("*") > F.count_distinct("task_id")).alias("repeated"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("pairs", lambda p: F.concat(
-        F.lit('["'), p["task_id"], F.lit('","'), p["text_hash"], F.lit('"]'))), ","), F.lit("]"))
+    text = F.to_json(F.transform("pairs", lambda p: F.array(p["task_id"], p["text_hash"])))
     return versions.select("version", F.when(~F.col("repeated"), F.sha2(text, 256)).alias("fingerprint"), "repeated")

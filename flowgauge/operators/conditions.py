@@ -161,7 +161,7 @@ def answer_leaves(nodes: DataFrame, evaluations: DataFrame, facts: DataFrame) ->
         F.col("consecutive_days").alias("days")).join(evaluations, "spec_id")
     keep = ["spec_id", "node_id", "asset_name", "target_date", "now", "ready", "reason"]
     plain = asof.latest(leaves.where("hours IS NULL AND days IS NULL"), facts)
-    fresh = asof.within(leaves.where("hours IS NOT NULL").withColumn("hours", F.col("hours").cast("int")), facts)
+    fresh = asof.within(leaves.where("hours IS NOT NULL"), facts)
     spans = asof.consecutive(leaves.where("days IS NOT NULL"), facts)
     none = F.lit(None).cast("timestamp_ntz")
     return plain.select(*keep, F.col("event_time").alias("at")).unionByName(
@@ -194,7 +194,7 @@ def schedule_holds(nodes: DataFrame, moments: DataFrame, facts: DataFrame, max_d
     """Whether each spec holds for ``target_date`` as of ``cutoff``, counting only facts recorded by then."""
     key = ["spec_id", "target_date", "cutoff"]
     leaves = nodes.where("op = 'leaf'").select(
-        "spec_id", "node_id", "asset_name", F.col("freshness_hours").cast("int").alias("hours"),
+        "spec_id", "node_id", "asset_name", F.col("freshness_hours").alias("hours"),
         F.col("consecutive_days").alias("days")).join(moments.select(*key).distinct(), "spec_id")
     keep = [*key, "node_id", "ready"]
     answered = asof.latest_ready_as_of(leaves.where("hours IS NULL AND days IS NULL"), facts).select(*keep)

@@ -11,7 +11,6 @@ WAIT_FOR_DAYS = 7
 START_WARN_MINUTES = 15
 START_FAIL_HOURS = 6
 FAR_FUTURE = "9999-01-01 00:00:00"
-MAX_PAUSES = 10
 LOST_HINT_MINUTES = 5
 VISIBLE_MINUTES = 2
 
@@ -134,11 +133,10 @@ def expired_rows(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def pause_intervals(events: DataFrame) -> DataFrame:
-    """A run's pauses from its pause and resume requests: repeats change nothing, the oldest merge beyond ten.
+    """A run's pauses from its pause and resume requests: repeats change nothing.
 
     Only changes of state matter, so repeats are dropped first, inside slices of a day with the last request carried
-    in, then pauses are paired with the resume that follows. A run keeps at most ten intervals: the nine newest and
-    the span of all older ones.
+    in, then pauses are paired with the resume that follows.
     """
     order = ["at", "event_id"]
     cut = events.withColumn("slice", F.to_date("at"))
@@ -151,16 +149,9 @@ def pause_intervals(events: DataFrame) -> DataFrame:
     # What is left alternates; pair each pause with the change after it, in its slice or a later one.
     firsts = changes.groupBy("run_id", "slice").agg(F.min(F.struct(*order))["at"].alias("first_at"))
     later = firsts.withColumn("next_at", F.lead("first_at").over(Window.partitionBy("run_id").orderBy("slice")))
-    paired = changes.join(later.drop("first_at"), ["run_id", "slice"]).withColumn(
+    return changes.join(later.drop("first_at"), ["run_id", "slice"]).withColumn(
         "end", F.coalesce(F.lead("at").over(inside), F.col("next_at"))).where("action = 'pause'").select(
         "run_id", F.col("at").alias("start"), "end")
-    newest = Window.partitionBy("run_id").orderBy(F.desc("start"))
-    kept = paired.withColumn("n", F.row_number().over(newest)).where(F.col("n") < MAX_PAUSES)
-    ninth = kept.groupBy("run_id").agg(F.count("*").alias("n"), F.min("start").alias("from"))
-    rest = paired.join(ninth, "run_id").where(
-        (F.col("n") == MAX_PAUSES - 1) & (F.col("start") < F.col("from"))).groupBy("run_id").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"))
-    return kept.drop("n").unionByName(rest)
 
 
 def lost_hints(rows: DataFrame, check_time: Column) -> DataFrame:

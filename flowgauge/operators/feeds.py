@@ -18,13 +18,6 @@ def asset_staleness(assets: DataFrame, on_day: DataFrame, ever: DataFrame, now:
         "asset_name", "known_at", "age.status", "age.label", "age.hours")
 
 
-# Page sizes, the rows a task page reads at most, window lengths in days.
-RUNS_PAGE = 50
-TASKS_PAGE = 100
-TASKS_READ_BUDGET = 20_000
-RUNS_WINDOW_DAYS = 90
-
-
 def is_older(started_at: Column, before) -> Column:
     """Whether a row is still to be served after the cursor; rows without a time sort oldest."""
     return F.lit(True) if before is None else started_at.isNull() | (started_at < before)
@@ -70,15 +63,16 @@ def walked_days(rows: DataFrame, want: int, weight: Column) -> DataFrame:
     return daily.withColumn("read", F.coalesce(F.sum("weight").over(before), F.lit(0))).where(F.col("read") < want)
 
 
-def task_page(runs: DataFrame, limit: int = TASKS_PAGE, budget: int = TASKS_READ_BUDGET) -> DataFrame:
-    """The runs whose tasks fill one page: whole runs, all of one instant together, until the page or the budget is full.
+def task_page(runs: DataFrame, limit: int, budget: int | None = None) -> DataFrame:
+    """The runs whose tasks fill one page: whole runs, all of one instant together, until the page is full.
 
-    ``runs`` carry ``size`` (rows read, at least one) and ``kept`` (rows shown). Every run costs a row, so only the
-    newest ``budget + 1`` runs and the twins of the last can matter: they alone are ordered.
+    ``runs`` carry ``size`` (rows read, at least one) and ``kept`` (rows shown). Only the newest days that hold ``limit``
+    shown rows can matter, so they alone are ordered. A caller who wants to bound the rows that a page reads passes a
+    ``budget``: the page then also ends before the run that would go beyond it.
     """
     sized = runs.withColumn("size", F.greatest("size", F.lit(1)))
-    edge = sized.select("started_at").orderBy(F.desc("started_at")).limit(budget + 1).agg(F.min("started_at")).first()[0]
-    newest = sized.where(F.col("started_at") >= F.lit(edge)) if edge is not None else sized
+    days = walked_days(sized, limit, F.col("kept")).select("day")
+    newest = sized.join(days, F.to_date("started_at").eqNullSafe(F.col("day")), "left_semi")
     instants = newest.groupBy("started_at").agg(
         F.sum("size").alias("size"), F.sum("kept").alias("kept"), F.max_by("size", F.struct("run_id")).alias("last_size"))
     order = Window.orderBy(F.desc("started_at"))
@@ -87,7 +81,9 @@ def task_page(runs: DataFrame, limit: int = TASKS_PAGE, budget: int = TASKS_READ
     seen = instants.join(firsts, "started_at").withColumns({
         "shown": F.coalesce(F.sum("kept").over(before), F.lit(0)), "read": F.coalesce(F.sum("size").over(before), F.lit(0)),
         "position": F.row_number().over(order)})
-    stop = (F.col("shown") >= limit) | ((F.col("position") > 1) & (F.col("read") + F.col("first_size") > budget))
+    stop = F.col("shown") >= limit
+    if budget is not None:
+        stop = stop | ((F.col("position") > 1) & (F.col("read") + F.col("first_size") > budget))
     ended = seen.withColumn("stopped", F.max(stop.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return newest.join(ended.where("stopped = 0").select("started_at"), "started_at", "left_semi")
 
@@ -121,9 +117,8 @@ def attempts(events: DataFrame) -> DataFrame:
     return events.groupBy("task_run_id").agg(started.alias("starts"), (started + retried).alias("dispatches"))
 
 
-def notifications(tasks: DataFrame, backfills: DataFrame, warnings: DataFrame, since: Column, limit: int) -> DataFrame:
-    """The bell: one entry per run, decisions first by deadline (paused last), then failures, warnings and ended
-    backfills by recency."""
+def notification_entries(tasks: DataFrame, backfills: DataFrame, warnings: DataFrame, since: Column) -> DataFrame:
+    """Everything the bell can show: one entry per run that asks or failed, ended backfills and warnings."""
     asks = (F.col("status") == "waiting_decision")
     entry = tasks.where(asks | ((F.col("status") == "failed") & (F.col("due_at") >= since))).groupBy("run_id").agg(
         F.min(F.struct(F.when(asks, 0).otherwise(1).alias("rank"),
@@ -142,8 +137,13 @@ def notifications(tasks: DataFrame, backfills: DataFrame, warnings: DataFrame, s
     warned = warnings.where(F.col("finished_at") >= since).select(
         F.lit("warning").alias("type"), F.col("run_id").alias("subject"), F.lit(None).cast("int").alias("task_no"),
         none.alias("deadline"), "finished_at")
-    every = per_run.unionByName(ended).unionByName(warned)
-    return every.orderBy(
+    return per_run.unionByName(ended).unionByName(warned)
+
+
+def notifications(entries: DataFrame, limit: int) -> DataFrame:
+    """The bell: the first entries, decisions by deadline (paused last), then failures, warnings and ended backfills by
+    recency."""
+    return entries.orderBy(
         F.col("type") != "decision_required", F.asc_nulls_last("deadline"), F.desc_nulls_last("finished_at"),
         "type", "subject").limit(limit)
 

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowgauge.functions import calendar as cal, text, vocab
 
-# The longest cause, the shortest name with its separator, recent runs on a card, the card's window.
-CAUSE_MAX = 32_768
-_CAUSE_NAMES = CAUSE_MAX // 3 + 1
-_CAUSE_SALTS = 64
+# Recent runs on a card, the card's window.
 RECENT_RUNS = 10
 CARD_DAYS = 14
 UNHEALTHY_ABOVE = 10
@@ -69,13 +66,23 @@ def failed_tasks(summary: Column) -> Column:
     return F.coalesce(F.try_element_at(summary, F.lit("failed")), F.lit(0))
 
 
-def failure_cause(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """The cause text of every run that ended other than in success.
+#: Parts of a run in which the names for its cause are picked.
+_CAUSE_SALTS = 64
+
+
+def failed_rows(rows: DataFrame) -> DataFrame:
+    """Every row that failed for good: the full list that a cause text is a short form of."""
+    return rows.where(vocab.is_final_failure(F.col("status")))
+
+
+def failure_cause(rows: DataFrame, runs: DataFrame, longest: int) -> DataFrame:
+    """The cause text of every run that ended other than in success, in at most ``longest`` characters.
 
-    ``rows`` are a run's expected rows, ``runs`` carry ``step_failed`` and ``failed_step``. A text holds at most
-    ``CAUSE_MAX`` characters, so only the first ``_CAUSE_NAMES`` names by spelling can appear in it: each salt of a run
-    keeps that many, which bounds what one task sorts however large the run is. The number of failures is exact.
+    ``rows`` are a run's expected rows, ``runs`` carry ``step_failed`` and ``failed_step``. The number of failures is
+    exact and ``failed_rows`` has them all. A text can only hold the first ``longest / 3`` names by spelling (a name and
+    its separator take three characters), so each salt of a run keeps that many, which bounds what one task sorts.
     """
+    most = longest // 3 + 1
     rolled = rows.groupBy("run_id").agg(
         *_roll_up(), F.count_if(vocab.is_final_failure(F.col("status"))).alias("failures"))
     ended = runs.select("run_id", "step_failed", "failed_step").join(rolled, "run_id").where("all_final").withColumn(
@@ -83,12 +90,12 @@ def failure_cause(rows: DataFrame, runs: DataFrame) -> DataFrame:
             F.col("all_final"), F.col("any_failed"), F.col("any_stopped")))
     ).where("status <> 'success'")
 
-    failed = rows.where(vocab.is_final_failure(F.col("status"))).select(
+    failed = failed_rows(rows).select(
         "run_id", "name", F.pmod(F.xxhash64("name"), F.lit(_CAUSE_SALTS)).alias("salt"))
     in_salt = F.row_number().over(Window.partitionBy("run_id", "salt").orderBy("name"))
-    firsts = failed.withColumn("r", in_salt).where(F.col("r") <= _CAUSE_NAMES)
+    firsts = failed.withColumn("r", in_salt).where(F.col("r") <= most)
     in_run = F.row_number().over(Window.partitionBy("run_id").orderBy("name"))
-    firsts = firsts.withColumn("r", in_run).where(F.col("r") <= _CAUSE_NAMES)
+    firsts = firsts.withColumn("r", in_run).where(F.col("r") <= most)
     names = firsts.groupBy("run_id").agg(F.sort_array(F.collect_list("name")).alias("names"))
 
     joined = ended.join(names, "run_id", "left").withColumn(
@@ -97,10 +104,10 @@ def failure_cause(rows: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(F.col("step_failed"), F.concat(F.lit("step "), "failed_step", F.lit(" failed; "))).otherwise(""),
         F.col("failures").cast("string"), F.lit(" tasks failed"))
     return joined.withColumn("head", head).select(
-        "run_id", "status", "failures", _listed(F.col("head"), F.col("names"), F.col("failures")).alias("cause"))
+        "run_id", "status", "failures", _listed(F.col("head"), F.col("names"), F.col("failures"), longest).alias("cause"))
 
 
-def _listed(head: Column, names: Column, total: Column) -> Column:
+def _listed(head: Column, names: Column, total: Column, longest: int) -> Column:
     """``head: a, b and k more`` with as many names as the cause may hold."""
     start = F.struct((F.length(head) + 2).cast("long").alias("used"), F.lit(0).cast("long").alias("shown"),
                      F.lit(False).alias("full"))
@@ -109,7 +116,7 @@ def _listed(head: Column, names: Column, total: Column) -> Column:
         added = F.length(name) + F.when(acc["shown"] > 0, 2).otherwise(0)
         rest = total - acc["shown"] - 1
         tail = F.when(rest > 0, F.length(F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more")))).otherwise(0)
-        fits = ~acc["full"] & (acc["used"] + added + tail <= CAUSE_MAX)
+        fits = ~acc["full"] & (acc["used"] + added + tail <= longest)
         return F.struct(
             F.when(fits, acc["used"] + added).otherwise(acc["used"]).cast("long").alias("used"),
             F.when(fits, acc["shown"] + 1).otherwise(acc["shown"]).cast("long").alias("shown"),

@@ -10,7 +10,8 @@ from flowgauge.suite.registry import query
 from flowgauge.suite.sql_views import FAILURES, texts
 
 _CANONICAL = ("int", "int", "bigint", "bigint", "decimal(10,2)", "decimal(12,0)", "varchar(20)", "array<int>",
-              "map<string,bigint>", "struct<a:int,b:array<boolean>>", "timestamp_ntz", "", "", "float")
+              "map<string,bigint>", "struct<a:int,b:array<boolean>>", "timestamp_ntz", "", "", "float",
+              "struct<a:int,b:string>", "", "struct<a:int,b:struct<a:int>>", "array<" * 14 + "bigint" + ">" * 14, "", "struct<ab:int,b:int>")
 _TYPED = {"v_typed": f"SELECT *, nullif({texts(_CANONICAL)}[pk % {len(_CANONICAL)} + 1], '') AS type FROM v_declarations"}
 
 
@@ -99,12 +100,12 @@ def _(v):
 
 
 @query("g27_fingerprint", """
-    SELECT run_id AS version, CASE WHEN count(*) = count(DISTINCT t) THEN sha256('[' || string_agg('["' || t || '","' || h || '"]', ','
+    SELECT run_id AS version, CASE WHEN count(*) = count(DISTINCT t) THEN sha256('[' || string_agg('["' || t || '\\"\\\\é","' || h || '"]', ','
       ORDER BY t, h) || ']') END AS fingerprint, count(*) > count(DISTINCT t) AS repeated FROM (
       SELECT run_id, 't' || (task_no % 6) AS t, sha256('spec ' || pk) AS h FROM v_tasks_all) GROUP BY 1""")
 def _(v):
     specs = v.tasks_all.selectExpr(
-        "run_id AS version", "concat('t', task_no % 6) AS task_id", "sha2(concat('spec ', pk), 256) AS text_hash")
+        "run_id AS version", "concat('t', task_no % 6, chr(34), chr(92), 'é') AS task_id", "sha2(concat('spec ', pk), 256) AS text_hash")
     return catalog.fingerprint(specs)
 
 

@@ -90,11 +90,11 @@ def _(v):
 
 
 @query("t08_pause_intervals", """
-    SELECT run_id, CASE WHEN n < 10 THEN n ELSE 10 END AS n, min("at")::VARCHAR AS "start", max(e)::VARCHAR AS "end" FROM (
+    SELECT run_id, n, "at"::VARCHAR AS "start", e::VARCHAR AS "end" FROM (
       SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY "at" DESC) AS n FROM (
         SELECT *, lead("at") OVER (PARTITION BY run_id ORDER BY "at", event_id) AS e FROM (
           SELECT *, coalesce(lag(action) OVER (PARTITION BY run_id ORDER BY "at", event_id), 'resume') AS p FROM v_run_events)
-        WHERE action <> p) WHERE action = 'pause') GROUP BY 1, 2""")
+        WHERE action <> p) WHERE action = 'pause')""")
 def _(v):
     from pyspark.sql import Window
     n = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("start")))

@@ -127,14 +127,14 @@ def _(v):
 
 
 @query("j02_fresh_fact", """
-    SELECT t.asset_name, t.target_date::VARCHAR AS target_date, coalesce(d.last_at >= now - INTERVAL 30 HOUR, false) AS ready,
-      CASE WHEN d.last_at IS NULL THEN 'no_fact' WHEN d.last_at >= now - INTERVAL 30 HOUR THEN 'ok' ELSE 'stale' END
+    SELECT t.asset_name, t.target_date::VARCHAR AS target_date, coalesce(d.last_at >= now - INTERVAL 1830 MINUTE, false) AS ready,
+      CASE WHEN d.last_at IS NULL THEN 'no_fact' WHEN d.last_at >= now - INTERVAL 1830 MINUTE THEN 'ok' ELSE 'stale' END
         AS reason, d.partition_date::VARCHAR AS partition_date, d.last_at::VARCHAR AS event_time
     FROM (SELECT *, target_date::TIMESTAMP + INTERVAL 40 HOUR AS now FROM v_targets) t
     ASOF LEFT JOIN v_days d ON d.asset_name = t.asset_name AND d.partition_date <= t.target_date""", **_DAYS)
 def _(v):
     timed = v.targets.withColumns({
-        "now": F.expr("cast(target_date AS timestamp_ntz) + interval 40 hours"), "hours": F.lit(30)})
+        "now": F.expr("cast(target_date AS timestamp_ntz) + interval 40 hours"), "hours": F.lit(30.5)})
     return asof.within(timed, v.facts).drop("now", "hours")
 
 

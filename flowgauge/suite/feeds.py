@@ -53,11 +53,16 @@ def _(v):
     return feeds.walked_days(v.runs.withColumn("started_at", F.col("started_day")), 2000, F.col("task_count"))
 
 
-@query("w03_task_page")
+@query("w03_task_page", """
+    SELECT * FROM (WITH r AS (SELECT run_id, h.started_day AS d, count(*) AS size, count(*) FILTER (t.status = 'failed') AS kept
+        FROM v_heads h JOIN v_tasks t USING (run_id) GROUP BY 1, 2),
+      i AS (SELECT d, coalesce(sum(sum(kept)) OVER (ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shown
+        FROM r GROUP BY 1)
+    SELECT run_id, d::VARCHAR AS started_at, size, kept FROM r JOIN i USING (d) WHERE shown < 100)""")
 def _(v):
     counts = v.tasks.groupBy("run_id").agg(
         F.count("*").alias("size"), F.count_if(F.col("status") == "failed").alias("kept"))
-    return feeds.task_page(tied(v).join(counts, "run_id"), 100, 20_000).select("run_id", "started_at", "size", "kept")
+    return feeds.task_page(tied(v).join(counts, "run_id"), 100).select("run_id", "started_at", "size", "kept")
 
 
 @query("w07_timeline", """
@@ -98,22 +103,22 @@ _BELL = {"v_bell": f"""
 _BELL_COLUMNS = "type, subject, task_no, deadline::VARCHAR AS deadline, finished_at::VARCHAR AS finished_at"
 
 
-def bell(v, limit):
+def bell(v):
     warnings = v.run_heads.where("run_id % 53 = 0").select("run_id", F.col("started_at").alias("finished_at"))
     since = runs_now() - F.expr("interval 2000 days")
-    return feeds.notifications(alerts(v), v.backfills, warnings, since, limit)
+    return feeds.notification_entries(alerts(v), v.backfills, warnings, since)
 
 
 @query("w08_notifications", f"""
     SELECT {_BELL_COLUMNS} FROM v_bell ORDER BY type <> 'decision_required', deadline NULLS LAST,
       v_bell.finished_at DESC NULLS LAST, type, subject LIMIT 50""".replace("deadline NULLS", "v_bell.deadline NULLS"), **_BELL)
 def _(v):
-    return bell(v, 50)
+    return feeds.notifications(bell(v), 50)
 
 
 @query("u02_notification_union", f"SELECT {_BELL_COLUMNS} FROM v_bell", **_BELL)
 def _(v):
-    return bell(v, 2_000_000_000)
+    return bell(v)
 
 
 @query("w09_attention_scan", """

@@ -25,8 +25,7 @@ def _(v):
 
 @query("g02_trigger_verdict", """
     SELECT run_id, task_no, verdict, CASE verdict
-      WHEN 'fail' THEN 'unknown trigger_rule ''always''; use no rule: remove the dependency, since a task without '
-        || 'upstreams starts with its run'
+      WHEN 'fail' THEN 'unknown trigger_rule ''always''; use a task without dependencies: it starts together with its run'
       WHEN 'ready' THEN CASE WHEN total = 0 THEN 'no upstreams' ELSE trigger_rule || ' is met' END
       WHEN 'wait' THEN 'waiting for its upstreams' WHEN 'upstream_failed' THEN failed || ' upstreams failed'
       ELSE CASE trigger_rule WHEN 'all_success' THEN cascading || ' upstreams were skipped by their own rule'

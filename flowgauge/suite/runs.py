@@ -72,7 +72,7 @@ def _(v):
 def _(v):
     rows = runs.expected_rows(v.tasks_all, v.tasks).withColumn("name", F.expr("concat('task_', task_no)"))
     heads = v.run_heads.withColumn("failed_step", F.lit("load"))
-    causes = runs.failure_cause(rows, heads)
+    causes = runs.failure_cause(rows, heads, longest=32_768)
     return causes.join(heads.select("run_id", "started_at"), "run_id").orderBy(F.desc("started_at"), "run_id")
 
 

@@ -24,6 +24,8 @@ SCHEDULES = (
 TYPE_TEXTS = (
     "INT", "integer", "long", " bigint ", "decimal(10,2)", "Decimal(12)", "varchar(20)", "array<integer>",
     "map<string, long>", "struct<a:int,b:array<bool>>", "datetime", "decimal(50,2)", "array<nothing>", "real",
+    "struct<a int, b  string>", "struct<a:int,a:int>", "struct<a:int,b:struct<a:int>>", "array<" * 14 + "long" + ">" * 14,
+    "map<string,struct<x:int,y:int,x:date>>", "struct<ab:int,b:int>",
 )
 
 
