@@ -29,25 +29,40 @@ def read_parquet_stream(spark: SparkSession, folder: str, schema: T.StructType,
 
 
 class BatchTable:
-    """A table made of one folder per micro-batch."""
+    """A table made of one folder per micro-batch and, where ``day_of`` names a time, one below it for each of its days."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/batch_id=-1")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, day_of: str | None = None):
+        self.spark, self.path, self.schema, self.day_of = spark, path, schema, day_of
+        self.write(spark.createDataFrame([], schema), -1)
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-
-    def before(self, batch_id: int) -> DataFrame:
-        """What earlier batches wrote; the folder of this batch, if it was tried before, does not count."""
-        return self.all().where(F.col("batch_id") < batch_id).drop("batch_id")
+        if self.day_of:
+            day = F.coalesce(F.to_date(self.day_of).cast("string"), F.lit("none"))
+            rows.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch_id={batch_id}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def before(self, batch_id: int, first=None, last=None) -> DataFrame:
+        """What earlier batches wrote; the folder of this batch, if it was tried before, does not count.
+
+        With ``first`` and ``last`` only the folders of those days are read.
+        """
+        rows = self._all().where(F.col("batch_id") < batch_id)
+        if self.day_of and first is not None:
+            rows = rows.where(F.col("day").between(str(first), str(last)))
+        return rows.select(*self.schema.names)
+
+    def _all(self) -> DataFrame:
+        fields = [*self.schema.fields, T.StructField("batch_id", T.LongType())]
+        if self.day_of:
+            fields.append(T.StructField("day", T.StringType()))
+        return self.spark.read.schema(T.StructType(fields)).parquet(self.path)
 
     def all(self) -> DataFrame:
-        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self._all().select(*self.schema.names, "batch_id")
 
     def rows(self) -> DataFrame:
-        return self.all().drop("batch_id")
+        return self._all().select(*self.schema.names)
 
 
 def drain(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -62,22 +77,22 @@ def drain(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
 def ingest_facts(spark: SparkSession, raw: DataFrame, folder: str) -> tuple[BatchTable, BatchTable]:
     """Normalise facts as they arrive; unreadable ones go aside, once each, and hold nothing up.
 
-    A fact that was stored before, by asset and time, is skipped: only the stored days a batch touches are read.
+    A fact that was stored before, by asset and time, is skipped. Stored facts lie in a folder for each day of their time,
+    and a batch reads those between its first and its last day.
     """
     columns = ["asset_name", "event_time", "partition_key", "partition_date", "granularity", "cascade", "source_dag"]
     shape = fact_source.normalize_facts(raw).select(*columns).schema
-    good = BatchTable(spark, f"{folder}/facts", shape)
-    bad = BatchTable(spark, f"{folder}/unreadable", T.StructType([shape["asset_name"], shape["event_time"]]))
+    good = BatchTable(spark, f"{folder}/facts", shape, day_of="event_time")
+    bad = BatchTable(spark, f"{folder}/unreadable", T.StructType([shape["asset_name"], shape["event_time"]]), day_of="event_time")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         readable, unreadable = fact_source.split_facts(batch)
         key = ["asset_name", "event_time"]
-        days = batch.select(F.to_date("event_time").alias("day")).distinct()
+        days = batch.agg(F.min(F.to_date("event_time")).alias("first"), F.max(F.to_date("event_time")).alias("last")).first()
 
         def seen(table: BatchTable) -> DataFrame:
-            return table.before(batch_id).withColumn("day", F.to_date("event_time")).join(
-                days, "day", "left_semi").select(*key)
+            return table.before(batch_id, days["first"], days["last"]).select(*key)
 
         fresh = readable.select(*columns).dropDuplicates(key)
         good.write(fresh.join(seen(good), key, "left_anti"), batch_id)
@@ -186,8 +201,13 @@ def missing_partitions(expected: DataFrame, facts: DataFrame, now: Column) -> Da
     return expected.where(F.col("due_at") <= now).join(present, ["asset_name", "partition_key"], "left_anti")
 
 
-def alert_missing(spark: SparkSession, facts: DataFrame, expected: DataFrame, folder: str) -> BatchTable:
-    """Alerts for partitions that are overdue at the newest event time seen so far, each raised once."""
+def alert_missing(spark: SparkSession, facts: DataFrame, expected: DataFrame, folder: str,
+                  now: Column | None = None) -> BatchTable:
+    """Alerts for partitions that are overdue at the newest event time seen so far, each raised once.
+
+    A fact dated after ``now`` (the wall clock unless given) is no sign that time has passed.
+    """
+    wall = F.current_timestamp().cast("timestamp_ntz") if now is None else now
     alerts = BatchTable(spark, f"{folder}/alerts", expected.select("asset_name", "partition_key", "due_at").schema)
     stored = BatchTable(spark, f"{folder}/seen", facts.select("asset_name", "partition_key", "event_time").schema)
 
@@ -195,7 +215,7 @@ def alert_missing(spark: SparkSession, facts: DataFrame, expected: DataFrame, fo
         # Facts are stored reduced to their partitions: one row per asset and key of a batch.
         stored.write(batch.groupBy("asset_name", "partition_key").agg(F.max("event_time").alias("event_time")), batch_id)
         seen = stored.all().where(F.col("batch_id") <= batch_id)
-        clock = seen.agg(F.max("event_time")).first()[0]
+        clock = seen.where(F.col("event_time") <= wall).agg(F.max("event_time")).first()[0]
         if clock is None:
             return
         overdue = missing_partitions(expected, seen, F.lit(clock))

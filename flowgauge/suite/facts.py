@@ -9,7 +9,7 @@ from flowgauge.operators import asof, conditions, rules
 from flowgauge.sources import facts as src
 from flowgauge.suite.registry import query
 from flowgauge.suite.sql_views import NOW_FACTS
-from flowgauge.suite.views import facts_now
+from flowgauge.suite.views import facts_now, with_gaps
 
 
 @query("s01_scan_facts", """
@@ -50,10 +50,10 @@ def _(v):
 
 @query("s04_merge_facts", """
     SELECT DISTINCT asset_name, partition_date::VARCHAR AS partition_date, event_time::VARCHAR AS event_time, granularity
-    FROM v_facts WHERE partition_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND event_id % 11 <> 0""")
+    FROM v_facts WHERE partition_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' """)
 def _(v):
-    base, extra = v.facts.where("event_id % 3 <> 0 AND event_id % 11 <> 0"), v.facts.where(
-        "event_id % 2 = 0 AND event_id % 11 <> 0 OR event_id % 3 = 0 AND event_id % 11 <> 0")
+    # what came first and what came late; some facts are in both
+    base, extra = v.facts.where("event_id % 3 <> 0"), v.facts.where("event_id % 2 = 0 OR event_id % 3 = 0")
     return src.merge_facts(base, extra, "2024-01-05", "2024-01-20")
 
 
@@ -115,6 +115,9 @@ _DAYS = {"v_days": """SELECT asset_name, partition_date, granularity, min(event_
     max(event_time) AS last_at FROM v_facts GROUP BY 1, 2, 3"""}
 
 
+_GAPPY_DAYS = {"v_days": _DAYS["v_days"].replace("v_facts", "v_gappy")}
+
+
 @query("j01_latest_fact", f"""
     SELECT t.asset_name, t.target_date::VARCHAR AS target_date, coalesce(bool_or({_SERVES}), false) AS ready,
       CASE WHEN bool_or({_SERVES}) THEN 'ok' WHEN count(f.asset_name) > 0 THEN 'stale' ELSE 'no_fact' END AS reason,
@@ -143,24 +146,24 @@ def _(v):
       CASE WHEN count(d.partition_date) = 4 THEN 'ok' ELSE 'missing_dates' END AS reason,
       coalesce(string_agg(CASE WHEN d.partition_date IS NULL THEN need::VARCHAR END, ',' ORDER BY need), '') AS missing
     FROM (SELECT *, target_date - n::INTEGER AS need FROM v_targets, unnest([0, 1, 2, 3]) AS s(n)) t
-    LEFT JOIN v_days d ON d.asset_name = t.asset_name AND d.partition_date = t.need GROUP BY 1, 2""", **_DAYS)
+    LEFT JOIN v_days d ON d.asset_name = t.asset_name AND d.partition_date = t.need GROUP BY 1, 2""", **_GAPPY_DAYS)
 def _(v):
-    found = asof.consecutive(v.targets.withColumn("days", F.lit(4)), v.facts)
+    found = asof.consecutive(v.targets.withColumn("days", F.lit(4)), with_gaps(v.facts))
     missing = F.array_join(F.transform("missing_dates", lambda d: d.cast("string")), ",")
     return found.select("asset_name", "target_date", "ready", "reason", missing.alias("missing"))
 
 
 def probes(v):
-    """What another asset looked like at the moment of each third fact."""
+    """What another asset looked like at the moment of each fact."""
     other = F.expr("element_at(array('click', 'error', 'purchase', 'signup', 'view'), cast(event_id % 5 AS int) + 1)")
-    return v.facts.where("event_id % 3 = 0").select(
+    return v.facts.select(
         "event_id", other.alias("asset_name"), F.to_date("event_time").alias("target_date"),
         F.col("event_time").alias("cutoff"))
 
 
 _PROBES = {**_DAYS, "v_probes": """
     SELECT event_id, ['click', 'error', 'purchase', 'signup', 'view'][event_id % 5 + 1] AS asset_name,
-      event_time::DATE AS target_date, event_time AS cutoff FROM v_facts WHERE event_id % 3 = 0"""}
+      event_time::DATE AS target_date, event_time AS cutoff FROM v_facts"""}
 
 
 @query("j04_point_in_time", f"""
@@ -174,7 +177,7 @@ def _(v):
 
 
 @query("w12_fact_spans", """
-    WITH days AS (SELECT DISTINCT asset_name, partition_date AS d FROM v_facts),
+    WITH days AS (SELECT DISTINCT asset_name, partition_date AS d FROM v_gappy),
     marked AS (SELECT *, d - (row_number() OVER (PARTITION BY asset_name ORDER BY d))::INTEGER AS g FROM days),
     spans AS (SELECT asset_name, min(d) AS a, max(d) AS b FROM marked GROUP BY asset_name, g),
     nexts AS (SELECT *, lead(a) OVER (PARTITION BY asset_name ORDER BY a) AS n FROM spans)
@@ -182,7 +185,7 @@ def _(v):
     UNION ALL SELECT asset_name, 'missing', (b + 1)::VARCHAR, (n - 1)::VARCHAR, n - b - 1 FROM nexts WHERE n IS NOT NULL
     """.replace("WITH days AS", "SELECT * FROM (WITH days AS") + ")")
 def _(v):
-    return asof.fact_spans(v.facts)
+    return asof.fact_spans(with_gaps(v.facts))
 
 
 @query("j15_asset_staleness", f"""

@@ -89,10 +89,12 @@ def _(v):
 
 
 @query("n09_descendants", "SELECT DISTINCT graph, root, node FROM walk", walk="""
-    SELECT run_id AS graph, upstream_no AS root, task_no AS node FROM v_edges
+    SELECT e.run_id AS graph, e.upstream_no AS root, e.task_no AS node FROM v_edges e JOIN v_tasks t
+      ON t.run_id = e.run_id AND t.task_no = e.upstream_no AND t.status = 'failed'
     UNION SELECT w.graph, w.root, e.task_no FROM walk w JOIN v_edges e ON e.run_id = w.graph AND e.upstream_no = w.node""")
 def _(v):
-    return graph.descendants(graph_edges(v.edges), graph_nodes(v.tasks_all).withColumnRenamed("node", "root"))
+    failed = v.tasks.where("status = 'failed'")
+    return graph.descendants(graph_edges(v.edges), graph_nodes(failed).withColumnRenamed("node", "root"))
 
 
 @query("n03_trigger_cycles", """

@@ -65,8 +65,9 @@ VIEWS: dict[str, str] = {
             CASE event_type WHEN 'click' THEN 'hourly' WHEN 'signup' THEN 'weekly' WHEN 'error' THEN 'monthly'
                  ELSE 'daily' END AS granularity,
             CASE event_id % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'all' ELSE 'auto' END AS cascade,
-            'p' || (user_id % 7) AS source_dag FROM events)
-        WHERE CASE granularity WHEN 'monthly' THEN true WHEN 'weekly' THEN week(event_time) % 3 <> 0
+            'p' || (user_id % 7) AS source_dag FROM events)""",
+    "v_gappy": """
+        SELECT * FROM v_facts WHERE CASE granularity WHEN 'monthly' THEN true WHEN 'weekly' THEN week(event_time) % 3 <> 0
               ELSE (day(event_time) * 7 + length(asset_name)) % 5 <> 0 END""",
     "v_raw_facts": """
         SELECT event_id, asset_name, event_time, cascade, source_dag,
@@ -136,8 +137,8 @@ VIEWS: dict[str, str] = {
             WHEN 'purchase' THEN 'TASK_RETRY_STARTED' WHEN 'error' THEN 'TASK_FINISHED' ELSE 'MANUAL_DECISION' END
             AS event_type FROM events""",
     "v_run_events": """
-        SELECT user_id AS run_id, event_id, ts AS "at", CASE WHEN event_type = 'click' THEN 'pause' ELSE 'resume' END
-          AS action FROM events WHERE event_type IN ('click', 'view')""",
+        SELECT user_id AS run_id, event_id, ts AS "at", CASE WHEN event_type IN ('click', 'purchase') THEN 'pause'
+          ELSE 'resume' END AS action FROM events""",
     "v_row_log": """
         SELECT run_id, task_no, seq, old_status, new_status, writer, kind, generation_before,
           generation_before + raise AS generation_after, run_id % 103 <> 0 AS conditional,
@@ -232,7 +233,7 @@ VIEWS: dict[str, str] = {
             WHEN pk % 13 = 0 THEN '{"_s3_ref":"store://bucket/' || pk || '.json"}'
             WHEN pk % 17 = 0 THEN '{"_truncated":true}' WHEN pk % 19 = 0 THEN 'plain text'
             WHEN pk % 23 = 0 THEN '{"_manually_resolved":"yes"}' ELSE '{"rows":' || pk || '}' END AS result, pk, sk
-        FROM v_tasks WHERE run_id % 3 = 0 AND (run_id + task_no) % 5 <> 0""",
+        FROM v_tasks WHERE (run_id + task_no) % 5 <> 0""",
     "v_a_tasks": """
         SELECT run_id, task_no, status, generation,
           CASE WHEN (run_id * 7 + task_no) % 211 = 0 THEN 'wait_token' END AS token_fields,

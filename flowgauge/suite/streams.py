@@ -10,7 +10,7 @@ from flowgauge.streaming import jobs
 from flowgauge.suite import facts as fact_suite
 from flowgauge.suite.registry import query
 from flowgauge.suite.sql_views import NOW_FACTS
-from flowgauge.suite.views import facts_now, facts_of, raw_facts_of
+from flowgauge.suite.views import facts_now, facts_of, raw_facts_of, with_gaps
 
 
 def events(v):
@@ -93,10 +93,10 @@ def expected(v):
           ELSE date_trunc('month', m) + INTERVAL 1 MONTH + INTERVAL 1 DAY END::TIMESTAMP AS due
       FROM (SELECT DISTINCT asset_name, granularity FROM v_facts),
         unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS s(m))
-    WHERE due <= (SELECT max(event_time) FROM v_facts) AND (asset_name, k) NOT IN (SELECT (asset_name, partition_key) FROM v_facts)""")
+    WHERE due <= (SELECT max(event_time) FROM v_gappy) AND (asset_name, k) NOT IN (SELECT (asset_name, partition_key) FROM v_gappy)""")
 def _(v):
     return jobs.alert_missing(
-        v.spark, facts_of(events(v)), expected(v), jobs.new_folder(v.spark, "missing")).rows()
+        v.spark, with_gaps(facts_of(events(v))), expected(v), jobs.new_folder(v.spark, "missing")).rows()
 
 
 @query("r08_late_facts")
