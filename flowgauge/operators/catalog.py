@@ -77,18 +77,30 @@ def duplicate_columns(declarations: DataFrame) -> DataFrame:
     return declarations.groupBy("asset", "pipeline", "column_name").agg(F.count("*").alias("times")).where("times > 1")
 
 
+def stored_type(canonical: Column) -> Column:
+    """How a dataset stores a canonical type: lengths and types that are texts in files do not count as a change."""
+    text = F.regexp_replace(canonical, r"(?<![a-z0-9_])(varchar|char)\(\d+\)", "string")
+    text = F.regexp_replace(text, r"(?<![a-z0-9_])(uuid|json|time)(?![a-z0-9_:])", "string")
+    return F.regexp_replace(text, r"(?<![a-z0-9_])fixed_size_binary\(\d+\)", "binary")
+
+
 def schema_drift(declared: DataFrame, actual: DataFrame) -> DataFrame:
-    """Declared columns against a dataset's: missing, extra, type changed, nullability changed."""
-    spark = actual.sparkSession
-    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in actual.schema.fields]
-    found = spark.createDataFrame(rows, "column_name string, actual_type string, actual_nullable boolean")
-    joined = declared.select("column_name", "type", "nullable").join(found, "column_name", "full")
+    """Columns that each declaration (asset, pipeline) and a dataset disagree on: missing, extra, type or nullability.
+
+    Only a dataset that may hold nulls where none are declared has changed its nullability.
+    """
+    fields = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("actual_type"),
+                       F.lit(f.nullable).alias("actual_nullable")) for f in actual.schema.fields]
+    key = ["asset", "pipeline"]
+    found = declared.select(*key).distinct().withColumn("f", F.explode(F.array(*fields))).select(*key, "f.*")
+    said = declared.select(*key, "column_name", "type", "nullable", F.lit(True).alias("declared"))
+    joined = said.join(found, [*key, "column_name"], "full")
     drift = (
-        F.when(F.col("actual_type").isNull(), "missing").when(F.col("type").isNull(), "extra")
-        .when(F.col("type") != F.col("actual_type"), "type changed")
-        .when(F.col("nullable") != F.col("actual_nullable"), "nullability changed")
+        F.when(F.col("actual_type").isNull(), "missing").when(F.col("declared").isNull(), "extra")
+        .when(~stored_type(F.col("type")).eqNullSafe(F.col("actual_type")), "type changed")
+        .when(~F.col("nullable") & F.col("actual_nullable"), "nullability changed")
     )
-    return joined.select("column_name", "type", "actual_type", drift.alias("drift")).where("drift IS NOT NULL")
+    return joined.select(*key, "column_name", "type", "actual_type", drift.alias("drift")).where("drift IS NOT NULL")
 
 
 def contract_violations(data: DataFrame, contract: list[dict]) -> DataFrame:

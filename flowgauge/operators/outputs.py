@@ -32,12 +32,24 @@ def pointers(outputs: DataFrame) -> DataFrame:
         "path", text.output_field(F.col("result"), text.POINTER_FIELD))
 
 
-def dereference(spark: SparkSession, outputs: DataFrame, root: str) -> DataFrame:
-    """Stored pointers with the documents they name, read as whole files below ``root`` and joined on their path."""
-    documents = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1).alias("key"), F.col("value").alias("document"))
-    wanted = pointers(outputs).withColumn("key", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1))
-    return wanted.join(documents, "key", "left").drop("key")
+def object_key(path: Column) -> Column:
+    """Bucket and key of an object's address, whatever its scheme."""
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*:)?/*", "")
+
+
+def documents_below(spark: SparkSession, root: str) -> DataFrame:
+    """Whole files below ``root`` as (path, document); a path is what follows the root: a bucket, then its key."""
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    above = object_key(F.lit(root.rstrip("/") + "/"))
+    file = object_key(F.col("_metadata.file_path"))
+    return found.select(file.substr(F.length(above) + 1, F.length(file)).alias("path"), F.col("value").alias("document"))
+
+
+def dereference(outputs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stored pointers with the documents (path, document) that they name, by bucket and whole key."""
+    wanted = pointers(outputs).withColumn("key", object_key(F.col("path")))
+    known = documents.select(object_key(F.col("path")).alias("key"), "document")
+    return wanted.join(known, "key", "left").drop("key")
 
 
 def manual_resolutions(outputs: DataFrame) -> DataFrame:

@@ -59,18 +59,18 @@ def _(v):
 
 
 @query("c05_schema_drift", """
-    SELECT * FROM (VALUES ('c0', 'int', NULL, 'missing'), ('c1', 'int', NULL, 'missing'), ('c2', 'int', NULL, 'missing'),
-      ('c3', 'int', NULL, 'missing'), ('c4', 'int', NULL, 'missing'), ('o_orderkey', 'int', 'bigint', 'type changed'),
-      ('o_custkey', 'bigint', 'bigint', 'nullability changed'), ('o_orderstatus', NULL, 'string', 'extra'),
-      ('o_totalprice', NULL, 'double', 'extra'), ('o_orderdate', NULL, 'timestamp_ntz', 'extra'),
-      ('o_orderpriority', NULL, 'string', 'extra')) AS t(column_name, type, actual_type, drift)
-    WHERE (SELECT count(*) FROM v_declarations) > 0""")
+    SELECT asset, pipeline, column_name, type, actual_type, drift FROM (
+      SELECT coalesce(d.asset, x.asset) AS asset, coalesce(d.pipeline, x.pipeline) AS pipeline,
+        coalesce(d.column_name, x.column_name) AS column_name, d.type, x.actual_type, CASE
+          WHEN x.actual_type IS NULL THEN 'missing' WHEN d.asset IS NULL THEN 'extra'
+          WHEN CASE d.type WHEN 'varchar(20)' THEN 'string' ELSE d.type END IS DISTINCT FROM x.actual_type THEN 'type changed'
+          WHEN NOT d.nullable THEN 'nullability changed' END AS drift
+      FROM v_typed d FULL JOIN (SELECT a.*, f.* FROM (SELECT DISTINCT asset, pipeline FROM v_declarations) a,
+        (VALUES ('c0', 'bigint'), ('c1', 'string'), ('c3', 'int'), ('p_name', 'string')) AS f(column_name, actual_type)) x
+      ON x.asset = d.asset AND x.pipeline = d.pipeline AND x.column_name = d.column_name) WHERE drift IS NOT NULL""", **_TYPED)
 def _(v):
-    from_data = v.declarations.select("column_name").distinct().selectExpr("column_name", "'int' AS type", "true AS nullable")
-    written = v.declarations.select(F.explode(F.expr(
-        "array(struct('o_orderkey' AS column_name, 'int' AS type, true AS nullable),"
-        " struct('o_custkey' AS column_name, 'bigint' AS type, false AS nullable))")).alias("d")).select("d.*").distinct()
-    return catalog.schema_drift(from_data.unionByName(written), v.table("orders"))
+    stored = v.table("part").selectExpr("p_partkey AS c0", "p_type AS c1", "p_size AS c3", "p_name")
+    return catalog.schema_drift(typed(v), stored)
 
 
 @query("c06_contract_violations", """
@@ -137,6 +137,17 @@ def _(v):
     return outputs.pointers(v.outputs).select("run_id", "task_no", "path")
 
 
+@query("x02_dereferenced", """
+    SELECT run_id, task_no, path, p_name AS document FROM (
+      SELECT run_id, task_no, 'store://bucket/' || pk || '.json' AS path, pk FROM v_outputs WHERE pk % 11 <> 0 AND pk % 13 = 0)
+    LEFT JOIN part ON p_partkey = pk AND p_partkey % 2 = 0""")
+def _(v):
+    documents = v.table("part").selectExpr(
+        "concat('file:///', CASE WHEN p_partkey % 2 = 0 THEN 'bucket' ELSE 'other/bucket' END, '/', p_partkey, '.json') AS path",
+        "p_name AS document")
+    return outputs.dereference(v.outputs, documents).select("run_id", "task_no", "path", "document")
+
+
 @query("x03_manual_resolutions", """
     SELECT run_id, task_no, 'skip' AS resolution, 'op' || sk AS operator, 'r' AS reason, run_id::VARCHAR AS marked_run
     FROM v_outputs WHERE pk % 11 = 0""")

@@ -39,3 +39,24 @@ def test_parts_of_an_hour_count(spark):
     assert got == {(a, h): h * 60 >= m for a, m in (("a", 20), ("b", 80)) for h in (0.25, 0.5, 1.0, 1.5)}
     probes = targets.withColumnRenamed("now", "cutoff")
     assert {(r.asset_name, r.hours): r.ready for r in asof.within_as_of(probes, facts).collect()} == got
+
+
+def test_pointers_find_documents_by_bucket_and_whole_key(spark, tmp_path):
+    from flowgauge.operators import outputs
+
+    for name, body in (("one/x/1.json", "first"), ("two/x/1.json", "second"), ("one/y.json", "third")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    documents = outputs.documents_below(spark, f"file://{tmp_path}")
+    assert {(r.path, r.document) for r in documents.collect()} == {("one/x/1.json", "first"), ("two/x/1.json", "second"), ("one/y.json", "third")}
+    stored = spark.createDataFrame([(1, '{"_s3_ref":"store://one/x/1.json"}'), (2, '{"_s3_ref":"store://three/x/1.json"}')], "task_no long, result string")
+    assert {(r.task_no, r.document) for r in outputs.dereference(stored, documents).collect()} == {(1, "first"), (2, None)}
+
+
+def test_lengths_and_logical_types_are_no_drift(spark):
+    declared = spark.createDataFrame(
+        [("a", "p", "id", "uuid", False), ("a", "p", "name", "varchar(20)", True), ("a", "p", "at", "timestamp_ntz", True), ("a", "p", "gone", "int", True)],
+        "asset string, pipeline string, column_name string, type string, nullable boolean")
+    actual = spark.createDataFrame([], "id string, name string, at bigint, new int")
+    got = {(r.column_name, r.drift) for r in catalog.schema_drift(declared, actual).collect()}
+    assert got == {("id", "nullability changed"), ("at", "type changed"), ("gone", "missing"), ("new", "extra")}

@@ -176,5 +176,5 @@ def test_pointers_are_followed(spark, tmp_path):
     rows = spark.createDataFrame(
         [(1, '{"_s3_ref":"store://bucket/7.json"}'), (2, '{"_s3_ref":"store://bucket/8.json"}'), (3, '{"a":1}')],
         "run_id long, result string")
-    got = {r.run_id: r.document for r in outputs.dereference(spark, rows, str(tmp_path)).collect()}
+    got = {r.run_id: r.document for r in outputs.dereference(rows, outputs.documents_below(spark, str(tmp_path))).collect()}
     assert got == {1: '{"rows":\n7}', 2: None}
