@@ -3,8 +3,9 @@
 Documents of equal word sequences are one class, so copies never meet in a band. Classes that share a band are a bucket.
 No bucket is spread into its pairs: first every class is compared with the leader (smallest id) that it meets in most
 buckets, and what is linked so is contracted. After that only buckets that still hold several components matter, and of
-their pairs only those that include a class outside the bucket's largest component. A bucket with many such strays is
-not paired either: its classes go through finer bands over fresh minima, where dissimilar ones part.
+their pairs only those that include a stray, a class outside the bucket's largest component. Small buckets give them as
+pairs. Large ones are brought together by their largest component, and the full sets of their strays are held against those
+of all members in blocks, inside tasks, which return links alone.
 A pair is taken on if its signatures may agree that often, and linked only if its full shingle sets do.
 """
 
@@ -19,14 +20,16 @@ from flowgauge.llm import shingles, support
 
 #: 100 * intersection >= 75 * union links two documents.
 SIMILAR = 75
-#: Rows and bands by level. At similarity 0.75 a pair misses all bands of a level with a probability below 6e-6.
-LEVELS = ((4, 32), (8, 128), (12, 512))
-#: Strays up to which a bucket's remaining pairs are compared; the classes of other buckets go to the next level.
-STRAYS = 64
+#: Rows and bands. At similarity 0.75 a pair misses all bands with a probability of 1e-6.
+ROWS, BANDS = 5, 51
+#: A similar pair's signatures agree less than asked with a probability below 4e-6.
+DEVIATIONS = 4.5
+#: Stray pairs up to which a bucket gives them as rows; sets on each side of a block, and shingles compared at a time.
+PAIRS, BLOCK, COLUMNS = 64, 512, 4096
 
 
-def sketches(docs: DataFrame, rows: int, bands: int, seed: int, text: str, doc_id: str) -> DataFrame:
-    """For each document: id, n (its shingles), key (of its word sequence) and signature (32-bit minima)."""
+def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """For each document: id, n (its shingles), key (of its word sequence) and signature (16 bits of each minimum)."""
     schema = T.StructType([
         T.StructField("id", docs.schema[doc_id].dataType), T.StructField("n", T.LongType()),
         T.StructField("key", T.BinaryType()), T.StructField("signature", T.BinaryType()),
@@ -36,13 +39,13 @@ def sketches(docs: DataFrame, rows: int, bands: int, seed: int, text: str, doc_i
         import pyarrow as pa
         import xxhash
 
-        minhash = shingles.MinHash(rows * bands, seed)
+        minhash = shingles.MinHash(ROWS * BANDS, 1)
         for batch in batches:
             sizes, keys, signatures = [], [], []
             for words, own in shingles.shingle_sets(batch.column(1)):
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(words.tobytes()) if len(own) else None)
-                signatures.append(minhash.minima(own).tobytes() if len(own) else None)
+                signatures.append(minhash.minima(own).astype(np.uint16).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
                 names=schema.names)
@@ -85,15 +88,11 @@ def _filtered(pairs: DataFrame, holds) -> DataFrame:
     return support.by_batch(pairs, run, kind)
 
 
-def _may_agree(count: int):
-    """Whether so many of ``count`` minima agree as must, by six deviations, at the similarity asked for."""
-    p = SIMILAR / 100
-    least = count * p - 6 * (count * p * (1 - p)) ** 0.5
-
-    def holds(left, right) -> bool:
-        return int((np.frombuffer(left, np.uint32) == np.frombuffer(right, np.uint32)).sum()) >= least
-
-    return holds
+def _may_agree(left, right) -> bool:
+    """Whether so many minima agree as must, by DEVIATIONS, at the similarity asked for."""
+    count, p = ROWS * BANDS, SIMILAR / 100
+    least = count * p - DEVIATIONS * (count * p * (1 - p)) ** 0.5
+    return int((np.frombuffer(left, np.uint16) == np.frombuffer(right, np.uint16)).sum()) >= least
 
 
 def _similar(left, right) -> bool:
@@ -104,15 +103,79 @@ def _similar(left, right) -> bool:
     return 100 * shared >= SIMILAR * (len(x) + len(y) - shared)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, count: int, text: str, doc_id: str) -> DataFrame:
+def _chosen(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Id and text of the documents that ``ids`` (_id) names, once each."""
+    return docs.select(doc_id, text).join(ids, docs[doc_id] == F.col("_id"), "left_semi").dropDuplicates([doc_id])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The links among ``pairs``: by signature, then on full sets."""
-    near = support.stored(_filtered(_with_both(pairs, classes, "signature"), _may_agree(count)), "near-pairs")
-    ends = near.select(F.explode(F.array("a", "b")).alias("_end")).distinct()
-    needed = docs.select(doc_id, text).join(ends, docs[doc_id] == F.col("_end"), "left_semi").dropDuplicates([doc_id])
-    sets = shingle_table(needed, text, doc_id)
+    near = support.stored(_filtered(_with_both(pairs, classes, "signature"), _may_agree), "near-pairs")
+    ends = near.select(F.col("a").alias("_id")).union(near.select("b")).distinct()
+    sets = shingle_table(_chosen(docs, ends, text, doc_id), text, doc_id)
     return support.stored(_filtered(_with_both(near, sets, "shingles"), _similar), "near-links")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    here, there = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(here, there)
+    sides = []
+    for sets, values in ((left, here), (right, there)):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, values)
+        real = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == values) if len(common) else np.zeros(len(values), bool)
+        sides.append((owner[real], at[real]))
+    for first in range(0, len(common), COLUMNS):
+        tables = []
+        for sets, (owner, at) in zip((left, right), sides, strict=True):
+            table = np.zeros((len(sets), min(COLUMNS, len(common) - first)), np.float32)
+            own = (at >= first) & (at < first + COLUMNS)
+            table[owner[own], at[own] - first] = 1
+            tables.append(table)
+        out += (tables[0] @ tables[1].T).astype(np.int64)  # at most COLUMNS each, exact in single precision
+    return out
+
+
+def _stray_links(members: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Links (a, b) between strays and members of other components, for each group of ``members`` (top, id, component)."""
+    counts = members.groupBy("top").agg(F.count(F.lit(1)).alias("members"), F.sum((F.col("component") != F.col("top")).cast("long")).alias("strays"))
+    blocks = counts.select("top", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("strays") / BLOCK).alias("columns"))
+    sets = shingle_table(_chosen(docs, members.select(F.col("id").alias("_id")).distinct(), text, doc_id), text, doc_id)
+    known = members.join(blocks, "top").join(support.stored(sets, "near-sets"), "id")
+    row, column = (F.pmod(F.xxhash64("id"), F.col(c)) for c in ("rows", "columns"))
+    every = "sequence(0L, {} - 1L)"
+    kind = ["top", "id", "component", "shingles"]
+    held = known.select(*kind, row.alias("row"), F.explode(F.expr(every.format("columns"))).alias("column"), F.lit(False).alias("stray"))
+    strays = known.where("component <> top").select(*kind, F.explode(F.expr(every.format("rows"))).alias("row"), column.alias("column"), F.lit(True).alias("stray"))
+
+    def compare(table):
+        import pyarrow as pa
+
+        stray = table["stray"].to_numpy()
+        ids, parts = table["id"].to_numpy(), table["component"].to_numpy()
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        one, two = np.flatnonzero(stray), np.flatnonzero(~stray)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        shared = overlaps([own[i] for i in one], [own[i] for i in two])
+        similar = 100 * shared >= SIMILAR * (sizes[one][:, None] + sizes[two][None, :] - shared)
+        similar &= parts[one][:, None] != parts[two][None, :]
+        x, y = np.nonzero(similar)
+        a, b = ids[one[x]], ids[two[y]]
+        pairs = np.stack([a, parts[two[y]], b], axis=1) if len(x) else np.zeros((0, 3), np.int64)
+        # one link to a component is as good as many
+        first = np.unique(pairs[np.lexsort(pairs.T[::-1])][:, :2], axis=0, return_index=True)[1] if len(pairs) else []
+        pairs = pairs[np.lexsort(pairs.T[::-1])][first] if len(pairs) else pairs
+        return pa.table({"a": pa.array(pairs[:, 2], pa.int64()), "b": pa.array(pairs[:, 0], pa.int64())})
+
+    support.ship(docs.sparkSession)
+    found = held.unionByName(strays).groupBy("top", "row", "column").applyInArrow(compare, "a long, b long")
+    return support.stored(found, "near-links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of ``edges`` (u, v) with the smallest node of their component, by alternating large and small stars.
 
@@ -146,11 +209,19 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return pairs.where(100 * F.least("n", "n_other") >= SIMILAR * F.greatest("n", "n_other"))
 
 
-def links(docs: DataFrame, classes: DataFrame, level: int, text: str, doc_id: str) -> list[DataFrame]:
-    """Tables of links (a, b) that connect all similar classes (id, n, signature of this level's bands)."""
-    rows, bands = LEVELS[level]
-    width = 4 * rows
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
+def _open(members: DataFrame) -> DataFrame:
+    """Buckets of ``members`` (bucket, id, component) with several components: how many classes, the largest, and the rest."""
+    by_part = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
+    parts = by_part.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("held").alias("members"),
+                                          F.max(F.struct("held", "component")).alias("top"))
+    return parts.where("parts > 1").select("bucket", "members", F.col("top.component").alias("top"),
+                                           (F.col("members") - F.col("top.held")).alias("strays"))
+
+
+def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str) -> list[DataFrame]:
+    """Tables of links (a, b) that connect all similar classes (id, n, signature)."""
+    width = 2 * ROWS
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                                     lambda i: F.xxhash64(i, F.col("signature").substr(i * width + 1, F.lit(width)))))
     spread = classes.select("id", "n", band.alias("band", "hash"))
     spread = spread.select("id", "n", F.xxhash64("band", "hash").alias("bucket"))
@@ -162,34 +233,21 @@ def links(docs: DataFrame, classes: DataFrame, level: int, text: str, doc_id: st
     met = support.stored(met.select(F.col("leader").alias("a"), F.col("id").alias("b"), "times"), "near-leaders")
     best = met.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("best"))
     first = best.select((-F.col("best.a")).alias("a"), "b")
-    found = [_verified(first, classes, docs, rows * bands, text, doc_id)]
+    found = [_verified(first, classes, docs, text, doc_id)]
 
     labelled = support.stored(_labelled(members.select("bucket", "id", "n"), found), "near-labelled")
-    by_part = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
-    parts = by_part.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("held").alias("all"), F.max(F.struct("held", "component")).alias("top")
-    ).where("parts > 1").select("bucket", F.col("top.component").alias("top"), (F.col("all") - F.col("top.held")).alias("strays"))
-    parts = support.stored(parts, "near-open")
-    direct = parts if level + 1 == len(LEVELS) else parts.where(F.col("strays") <= STRAYS)
-    open_members = labelled.join(direct, "bucket")
-    strays = open_members.where("component <> top").select(
+    parts = support.stored(_open(labelled), "near-open")
+    few = F.col("strays") * F.col("members") <= PAIRS
+    small = labelled.join(parts.where(few), "bucket")
+    strays = small.where("component <> top").select(
         "bucket", F.col("id").alias("stray"), F.col("n").alias("n_other"), F.col("component").alias("other"))
-    crossed = _sized(open_members.join(strays, "bucket").where("component <> other and id <> stray"))
+    once = (F.col("component") == F.col("top")) | (F.col("id") < F.col("stray"))
+    crossed = _sized(small.join(strays, "bucket").where((F.col("component") != F.col("other")) & once))
     crossed = crossed.select(F.least("id", "stray").alias("a"), F.greatest("id", "stray").alias("b"))
-    node = labelled.select("id", "component").distinct()
-    rest = met.join(node.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(
-        node.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b")
-    tried = first.select("a", "b")
-    more = crossed.union(rest).distinct().join(tried, ["a", "b"], "left_anti")
-    found.append(_verified(more, classes, docs, rows * bands, text, doc_id))
-
-    if level + 1 < len(LEVELS):
-        wide = parts.where(F.col("strays") > STRAYS).select("bucket")
-        if not wide.isEmpty():
-            ids = labelled.join(wide, "bucket", "left_semi").select(F.col("id").alias("_wide")).distinct()
-            some = docs.join(ids, docs[doc_id] == F.col("_wide"), "left_semi")
-            fine = support.stored(sketches(some, *LEVELS[level + 1], level + 1, text, doc_id), "near-fine")
-            found += links(docs, fine.dropDuplicates(["id"]), level + 1, text, doc_id)
+    more = crossed.distinct().join(first, ["a", "b"], "left_anti")
+    found.append(_verified(more, classes, docs, text, doc_id))
+    large = labelled.join(parts.where(~few).select("bucket", "top"), "bucket").select("top", "id", "component").distinct()
+    found.append(_stray_links(support.stored(large, "near-large"), docs, text, doc_id))
     return found
 
 
@@ -201,12 +259,12 @@ def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     words are one document. A row without an id is linked with nothing, has no component and is kept. Other columns are
     not read. No rows give no rows.
     """
-    sketched = support.stored(sketches(docs, *LEVELS[0], 0, text, doc_id), "near-sketches")
+    sketched = support.stored(sketches(docs, text, doc_id), "near-sketches")
     linked = sketched.where("key is not null and id is not null")
     first = linked.groupBy("key").agg(F.min(F.struct("id", "n", "signature")).alias("first"), F.count(F.lit(1)).alias("copies"))
     first = support.stored(first.select("key", "copies", "first.*"), "near-classes")
     classes = first.select("id", "n", "signature")
-    known = components(reduce(DataFrame.union, links(docs, classes, 0, text, doc_id)).select(
+    known = components(reduce(DataFrame.union, links(docs, classes, text, doc_id)).select(
         F.col("a").alias("u"), F.col("b").alias("v")))
     facts = first.drop("signature").join(known.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or component is not null")
     facts = support.stored(facts.select("key", "copies", F.coalesce("component", "id").alias("component")), "near-facts")

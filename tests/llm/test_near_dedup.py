@@ -74,13 +74,19 @@ def test_components_are_those_of_all_pairs(spark):
     check(spark, corpus(1))
 
 
-def test_buckets_with_many_strays_go_through_finer_bands(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "STRAYS", 1)
-    levels = []
-    plain = near_dedup.links
-    monkeypatch.setattr(near_dedup, "links", lambda docs, classes, level, *rest: levels.append(level) or plain(docs, classes, level, *rest))
-    check(spark, corpus(2)[:330])
-    assert 1 in levels
+@pytest.mark.parametrize("seed", [2, 4])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, seed):
+    for name, value in (("PAIRS", 2), ("BLOCK", 7), ("COLUMNS", 50)):
+        monkeypatch.setattr(near_dedup, name, value)
+    check(spark, corpus(seed))
+
+
+def test_overlaps_are_those_of_sets():
+    rng = np.random.default_rng(0)
+    left, right = ([np.unique(rng.integers(0, 300, rng.integers(0, 90), np.uint64)) for _ in range(n)] for n in (9, 13))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    assert near_dedup.overlaps(left, right).tolist() == want
+    assert near_dedup.overlaps([], right).shape == (0, 13)
 
 
 def test_rows_that_repeat_and_rows_without_id(spark):
@@ -121,9 +127,8 @@ def test_alternating_stars_find_the_least_node(spark, seed):
     assert got == {n: root(n) for e in edges for n in e if root(n) != n}
 
 
-@pytest.mark.parametrize("rows, bands", near_dedup.LEVELS)
-def test_bands_make_a_miss_unlikely(rows, bands):
-    assert (1 - 0.75**rows) ** bands < 6e-6
+def test_bands_make_a_miss_unlikely():
+    assert (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS < 1.1e-6
 
 
 def test_minima_estimate_the_similarity():
