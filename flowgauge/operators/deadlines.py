@@ -112,8 +112,18 @@ def with_deadlines(rows: DataFrame) -> DataFrame:
     })
 
 
+def span(interval: Column) -> Column:
+    """An interval as days, hours, minutes and seconds: ``2 days, 3:00:00``."""
+    day, hour, minute, second = (F.extract(F.lit(part), interval).cast("int") for part in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    days = F.when(day == 1, F.lit("1 day, ")).when(day > 1, F.concat(day.cast("string"), F.lit(" days, "))).otherwise("")
+    return F.concat(days, F.format_string("%d:%02d:%02d", hour, minute, second))
+
+
 def expired_rows(rows: DataFrame, now: Column) -> DataFrame:
-    """Waits, decisions and starts past their deadline, with which of them it was."""
+    """Waits, decisions and starts past their deadline, with which of them it was and its cause.
+
+    ``rows`` may carry ``reasons`` (what a wait still waits for) and ``error`` (of the last start); a cause ends in them.
+    """
     timed = with_deadlines(rows)
     status = F.col("status")
     kind = (
@@ -123,10 +133,12 @@ def expired_rows(rows: DataFrame, now: Column) -> DataFrame:
     )
     limit = F.when(kind == "wait", F.col("wait_deadline")).when(
         kind == "decision", F.col("decision_deadline")).otherwise(F.col("fail_at"))
+    reasons = F.array_join("reasons", "; ") if "reasons" in rows.columns else F.lit("its rule is not met")
+    error = F.coalesce("error", F.lit("no error kept")) if "error" in rows.columns else F.lit("no error kept")
     cause = (
-        F.when(kind == "wait", F.concat(F.lit("it waited past its limit at "), limit.cast("string")))
-        .when(kind == "decision", F.lit("no decision came within its decision timeout"))
-        .otherwise(F.lit("its start kept failing past its deadline"))
+        F.when(kind == "wait", F.concat(F.lit("it waited past its limit at "), limit.cast("string"), F.lit(": "), reasons))
+        .when(kind == "decision", F.concat(F.lit("no decision came within its decision timeout of "), span(F.col("decision_timeout"))))
+        .otherwise(F.concat(F.lit(f"its start kept failing for {START_FAIL_HOURS}:00:00: "), error))
     )
     return timed.select("run_id", "task_no", kind.alias("kind"), limit.alias("expired_at"), cause.alias("cause")).where(
         "kind IS NOT NULL")

@@ -70,16 +70,21 @@ def _(v):
 
 @query("t06_expired_rows", f"""
     SELECT run_id, task_no, kind, expired_at::VARCHAR AS expired_at, CASE kind
-      WHEN 'wait' THEN 'it waited past its limit at ' || expired_at::VARCHAR
-      WHEN 'decision' THEN 'no decision came within its decision timeout'
-      ELSE 'its start kept failing past its deadline' END AS cause FROM (
+      WHEN 'wait' THEN 'it waited past its limit at ' || expired_at::VARCHAR || ': 1 upstreams pending; asset a' || task_no
+      WHEN 'decision' THEN 'no decision came within its decision timeout of ' || CASE hours // 24 WHEN 0 THEN '' WHEN 1 THEN '1 day, '
+        ELSE hours // 24 || ' days, ' END || hours % 24 || ':00:00'
+      ELSE 'its start kept failing for 6:00:00: ' || CASE WHEN task_no % 2 = 0 THEN 'throttled' ELSE 'no error kept' END END AS cause FROM (
       SELECT run_id, task_no, CASE WHEN status = 'waiting' AND wait_at <= {NOW_RUNS} THEN 'wait'
           WHEN status = 'waiting_decision' AND decide_at <= {NOW_RUNS} THEN 'decision'
           WHEN status = 'deps_ready' AND fail_at <= {NOW_RUNS} THEN 'start' END AS kind,
-        CASE status WHEN 'waiting' THEN wait_at WHEN 'waiting_decision' THEN decide_at ELSE fail_at END AS expired_at
-      FROM v_times) WHERE kind IS NOT NULL""", **_TIMES)
+        CASE status WHEN 'waiting' THEN wait_at WHEN 'waiting_decision' THEN decide_at ELSE fail_at END AS expired_at,
+        1 + sk % 48 AS hours
+      FROM v_times JOIN (SELECT run_id, task_no, sk FROM v_tasks) USING (run_id, task_no)) WHERE kind IS NOT NULL""", **_TIMES)
 def _(v):
-    return dl.expired_rows(v.row_times, runs_now())
+    known = v.row_times.withColumns({
+        "reasons": F.expr("array('1 upstreams pending', concat('asset a', task_no))"),
+        "error": F.expr("CASE WHEN task_no % 2 = 0 THEN 'throttled' END")})
+    return dl.expired_rows(known, runs_now())
 
 
 @query("t07_countdown", """
