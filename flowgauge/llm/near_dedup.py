@@ -104,14 +104,14 @@ def _similar(left, right) -> bool:
 
 
 def _chosen(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Id and text of the documents that ``ids`` (_id) names, once each."""
-    return docs.select(doc_id, text).join(ids, docs[doc_id] == F.col("_id"), "left_semi").dropDuplicates([doc_id])
+    """Id and text of the documents that ``ids`` names, once each."""
+    return support.chosen(docs.select(doc_id, text), doc_id, ids).dropDuplicates([doc_id])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The links among ``pairs``: by signature, then on full sets."""
     near = support.stored(_filtered(_with_both(pairs, classes, "signature"), _may_agree), "near-pairs")
-    ends = near.select(F.col("a").alias("_id")).union(near.select("b")).distinct()
+    ends = near.select("a").union(near.select("b"))
     sets = shingle_table(_chosen(docs, ends, text, doc_id), text, doc_id)
     return support.stored(_filtered(_with_both(near, sets, "shingles"), _similar), "near-links")
 
@@ -144,7 +144,7 @@ def _stray_links(members: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
     """Links (a, b) between strays and members of other components, for each group of ``members`` (top, id, component)."""
     counts = members.groupBy("top").agg(F.count(F.lit(1)).alias("members"), F.sum((F.col("component") != F.col("top")).cast("long")).alias("strays"))
     blocks = counts.select("top", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("strays") / BLOCK).alias("columns"))
-    sets = shingle_table(_chosen(docs, members.select(F.col("id").alias("_id")).distinct(), text, doc_id), text, doc_id)
+    sets = shingle_table(_chosen(docs, members.select("id"), text, doc_id), text, doc_id)
     known = members.join(blocks, "top").join(support.stored(sets, "near-sets"), "id")
     row, column = (F.pmod(F.xxhash64("id"), F.col(c)) for c in ("rows", "columns"))
     every = "sequence(0L, {} - 1L)"
@@ -277,8 +277,9 @@ def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``marked`` keeps, with all their columns; rows that repeat an id and its words, once each."""
-    drop = marked(docs, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs[doc_id] == F.col("_drop"), "left_anti")
+    drop = support.stored(marked(docs, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "near-drop")
+    named = F.broadcast(drop) if drop.count() <= support.BROADCAST_IDS else drop
+    return docs.join(named, docs[doc_id] == F.col("_drop"), "left_anti")
 
 
 @support.query("op9_near_dedup")

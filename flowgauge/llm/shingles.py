@@ -12,7 +12,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text that are taken apart together.
-PART = 8 << 20
+PART = 4 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB], np.uint64)
 

@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: A group with more than one row in HOT_SHARE is hot; so there are fewer than HOT_SHARE hot groups, whatever the input.
 HOT_SHARE = 10_000
+#: Ids that are broadcast at most: some 20 MB.
+BROADCAST_IDS = 1_000_000
 _SHIPPED: set[str] = set()
 #: Bytes between words: space and the control characters 9 to 13.
 SPACES = r"\x20\x09-\x0D"
@@ -74,6 +76,14 @@ def crc_rest(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def chosen(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (one column). Up to BROADCAST_IDS ids go to all tasks, so that rows stay where
+    they are; more are joined by shuffle."""
+    ids = stored(ids.toDF("_id").distinct(), "ids")
+    named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(named, F.col(f"`{key}`") == F.col("_id"), "left_semi")
+
+
 def with_group_facts(rows: DataFrame, key: str, facts: DataFrame, size: str, total: int) -> DataFrame:
     """``rows`` left joined with one row of ``facts`` for each ``key``, however many rows a key has.
 
