@@ -104,3 +104,26 @@ def test_windows_count_late_rows(spark):
     got = jobs.tumbling_counts(spark, stream, "1 day", jobs.new_folder(spark, "count-test"))
     want = df.groupBy(F.to_date("event_time").alias("d"), "asset_name").count().collect()
     assert {(r.window_start.date(), r.asset_name, r.facts) for r in got.collect()} == {(r.d, r.asset_name, r["count"]) for r in want}
+
+
+def test_a_fact_from_the_future_raises_no_alert(spark):
+    now = dt.datetime(2024, 2, 1)
+    day = dt.date(2024, 1, 1)
+    rows = [(1, "a", dt.datetime(2024, 1, 1, 5), "daily", "2024-01-01", day, "auto", "x"),
+            (2, "a", dt.datetime(2030, 1, 1), "daily", "2030-01-01", dt.date(2030, 1, 1), "auto", "x")]
+    expected = spark.createDataFrame([("a", "2024-01-01", dt.datetime(2024, 1, 1, 1)), ("b", "2024-01-01", dt.datetime(2024, 1, 1, 1)),
+                                      ("b", "2029-01-01", dt.datetime(2029, 1, 2))], "asset_name string, partition_key string, due_at timestamp_ntz")
+    stream = in_files(spark, spark.createDataFrame(rows, FACTS), "event_id", 2)
+    alerts = jobs.alert_missing(spark, stream, expected, tempfile.mkdtemp(prefix="run-"), F.lit(now))
+    assert [(r.asset_name, r.partition_key) for r in alerts.rows().collect()] == [("b", "2024-01-01")]
+
+
+def test_a_batch_reads_only_the_stored_days_it_touches(spark):
+    shape = spark.createDataFrame([], "asset_name string, event_time timestamp_ntz").schema
+    table = jobs.BatchTable(spark, tempfile.mkdtemp(prefix="run-") + "/t", shape, day_of="event_time")
+    for n in range(4):
+        table.write(spark.createDataFrame([("a", dt.datetime(2024, 1, 1 + n, 3))], shape), n)
+    found = table.before(3, dt.date(2024, 1, 2), dt.date(2024, 1, 9))
+    assert [r.event_time.day for r in found.orderBy("event_time").collect()] == [2, 3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
