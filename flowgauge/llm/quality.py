@@ -12,7 +12,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowgauge.llm import support
 
@@ -21,8 +21,10 @@ FIGURES = (
     "full_stops", "commas", "bars", "loud_marks", "other_marks", "high_bytes", "capital_words", "repeated_lines",
     "marked_words", "top_byte", "entropy", "next_same",
 )
-#: Labelled texts that training reads at most; a hash of the id picks them.
+#: Labelled ids that training reads at most; a hash of the id picks them.
 SAMPLE = 20_000
+#: Different texts (by their figures) of one labelled id that go to the driver; they stand for all of the id's rows.
+TEXTS = 8
 BINS, PAIR_BINS, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE = 150, 60, 0.1
 #: A text is predicted good from this score on.
@@ -85,8 +87,13 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
-def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(values, np.arange(1, bins) / bins))
+def _cuts(values: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray:
+    """Quantiles of values that occur ``weights`` times each."""
+    order = np.argsort(values, kind="stable")
+    values, upto = values[order], np.cumsum(weights[order])
+    at = np.arange(1, bins) / bins * (upto[-1] - 1)
+    low, high = (values[np.minimum(np.searchsorted(upto, k, side="right"), len(values) - 1)] for k in (np.floor(at), np.ceil(at)))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
 
 
 def _leaf(g: float, h: float) -> float:
@@ -140,20 +147,24 @@ def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     return best
 
 
-def train(x: np.ndarray, y: np.ndarray) -> Model:
-    """Without rows of both labels the model answers with the share of label 1, or one half if there is none."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+def train(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> Model:
+    """The model of rows that occur ``weights`` times each, or once.
+
+    Without rows of both labels the model answers with the share of label 1, or one half if there is none.
+    """
+    weights = np.ones(len(y)) if weights is None else weights
+    share = ((weights * y).sum() + 0.5) / (weights.sum() + 1)
     model = Model(float(np.log(share / (1 - share))))
     if not 0 < y.sum() < len(y):
         return model
     margin = np.full(len(y), model.base)
-    model.cuts = [_cuts(column, BINS) for column in x.T]
+    model.cuts = [_cuts(column, weights, BINS) for column in x.T]
     binned = [np.searchsorted(cut, column, side="right") for cut, column in zip(model.cuts, x.T, strict=True)]
     model.tables = [np.zeros(len(cut) + 1) for cut in model.cuts]
 
     def slopes() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-margin))
-        return y - p, p * (1 - p)
+        return weights * (y - p), weights * (p * (1 - p))
 
     for _ in range(ROUNDS):
         for bins, table in zip(binned, model.tables, strict=True):
@@ -162,7 +173,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
             table += step
             margin += step[bins]
 
-    coarse = [_cuts(column, PAIR_BINS) for column in x.T]
+    coarse = [_cuts(column, weights, PAIR_BINS) for column in x.T]
     place = [np.searchsorted(cut, column, side="right") for cut, column in zip(coarse, x.T, strict=True)]
 
     def grid(f: int, k: int, values: np.ndarray) -> np.ndarray:
@@ -185,15 +196,20 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Model:
     """The model learnt from ``labels`` (doc_id, quality) whose crc32(doc_id as text) mod 5 is not 0.
 
-    At most ``sample`` labels are used, the first by a hash of the id. Labels that are null or whose text is missing from
-    ``docs`` teach nothing; a label or a text that repeats counts as often as it occurs.
+    At most ``sample`` labels (different pairs of id and quality) are used, the first by a hash of the id. Labels that are
+    null or whose text is missing from ``docs`` teach nothing; a label or a text that repeats counts as often as it occurs,
+    as a weight. An id with more than TEXTS different texts is told by so many of them, which a hash of their figures picks
+    and which share the weight of all its rows. So no label and no id crowds out another, however often it occurs.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & (support.crc_rest(F.col("doc_id"), 5) != 0))
     chosen = usable.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("double").alias("_label"))
+    chosen = chosen.groupBy("_labelled", "_label").agg(F.count(F.lit(1)).alias("_times"))
     chosen = chosen.orderBy(F.xxhash64("_labelled"), "_labelled", "_label").limit(sample)
+    names = F.broadcast(support.stored(chosen, "quality-labels"))  # no more than `sample` rows of three numbers
+    ids = names.select("_labelled").distinct()
     known = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(
-        F.broadcast(chosen), F.col("_id") == F.col("_labelled"))  # no more than `sample` rows of two numbers
-    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("figures", T.ArrayType(T.DoubleType()))])
+        F.broadcast(ids), F.col("_id") == F.col("_labelled"), "left_semi")
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("figures", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         import pyarrow as pa
@@ -202,8 +218,19 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
             rows = [figures(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=schema.names)
 
-    rows = support.by_batch(known.select("_label", "_text"), run, schema).orderBy("label", "figures").limit(2 * sample).toPandas()
-    return train(np.array(rows["figures"].tolist(), float).reshape(len(rows), len(FIGURES)), rows["label"].to_numpy(float))
+    different = support.by_batch(known, run, schema).groupBy("id", "figures").agg(F.count(F.lit(1)).alias("rows"))
+    different = support.stored(different, "quality-figures")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("figures"), "figures"))
+    some = different.withColumn("place", place).where(F.col("place") <= TEXTS).drop("place")
+    every = different.groupBy(F.col("id").alias("of")).agg(F.sum("rows").alias("every"))
+    rows = some.join(names, F.col("id") == F.col("_labelled")).join(every, F.col("id") == F.col("of"))
+    rows = rows.select("id", F.col("_label").alias("label"), "figures", "rows", "every", "_times").toPandas()
+    held = rows.groupby("id")["rows"].transform("sum") / rows.groupby("id")["label"].transform("nunique")
+    rows["weight"] = rows["rows"] * rows["_times"] * (rows["every"] / held)
+    rows["figures"] = rows["figures"].map(tuple)
+    rows = rows.sort_values(["label", "figures", "weight"])  # sums of numbers depend on their order
+    x = np.array(rows["figures"].tolist(), float).reshape(len(rows), len(FIGURES))
+    return train(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -89,3 +89,24 @@ def test_figures_are_finite_for_any_text():
         text = "".join(rng.choices("ab é\n\t|.!🙂0A\x00", k=rng.randint(0, 50)))
         values = quality.figures(text)
         assert len(values) == len(quality.FIGURES) and np.isfinite(values).all()
+
+
+def test_many_rows_of_one_label_do_not_crowd_out_the_other(spark, monkeypatch):
+    """More rows join than labels were sampled; those of label 0 alone would fill any bound on rows."""
+    marks = labels(spark, [(i, int(i % 4 != 0)) for i in range(400)])
+    often = documents(spark, ROWS + [ROWS[8]] * 1000)
+    scores = {r.doc_id: r.score for r in quality.scored(often, quality.fitted(often, marks, sample=400)).collect()}
+    assert all((scores[i] >= quality.THRESHOLD) == (i % 4 != 0) for i in range(400))
+    monkeypatch.setattr(quality, "TEXTS", 2)
+    mixed = documents(spark, ROWS + [(8, bad(i)) for i in range(1000, 2000)])  # one id, many different texts
+    model = quality.fitted(mixed, marks, sample=400)
+    scores = {r.doc_id: r.score for r in quality.scored(documents(spark, ROWS), model).collect()}
+    assert all((scores[i] >= quality.THRESHOLD) == (i % 4 != 0) for i in range(400))
+
+
+def test_a_weight_is_as_good_as_repeated_rows():
+    rng = np.random.default_rng(3)
+    x, times = rng.uniform(-1, 1, (300, len(quality.FIGURES))), rng.integers(1, 5, 300)
+    y = (x[:, 0] + 0.5 * rng.uniform(-1, 1, 300) > 0).astype(float)
+    one, two = quality.train(x, y, times.astype(float)), quality.train(np.repeat(x, times, axis=0), np.repeat(y, times))
+    assert np.allclose(one.score(x), two.score(x), atol=1e-6)
