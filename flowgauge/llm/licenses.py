@@ -68,9 +68,12 @@ class Index:
         self._a = random.integers(0, 1 << 31, 256, np.uint32) * np.uint32(2) + np.uint32(1)
         self._b = random.integers(0, 1 << 32, 256, np.uint32)
         by_step: dict[int, list] = {}
+        #: By template: where each of its sorted shingles first stands in it.
+        self.orders: list[np.ndarray] = []
         for number, (_, text) in enumerate(templates):
             words, _ = shingles.word_hashes(pa.array([text]), clean)
-            own = np.unique(shingles.run_hashes(words))
+            own, order = np.unique(shingles.run_hashes(words), return_index=True)
+            self.orders.append(order)
             if len(words) < shingles.WIDTH:
                 raise ValueError(f"template {number} has fewer than {shingles.WIDTH} words")
             by_step.setdefault(1 << (len(own) - 1).bit_length(), []).append((number, own, -(-len(own) * CONTAINED // 100)))
@@ -124,16 +127,21 @@ class Index:
 
 
 def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: doc_id and matches, an array of (template, license, found, shingles, start, end).
+    """One row for each row of ``docs``: doc_id and matches, an array of (template, license, found, shingles, start, end,
+    spans).
 
-    Of each template the window that holds most of its shingles counts, the first of those; ``start`` and ``end`` are the
-    first and the last (exclusive) word of what is found, of words that are not marks alone. Null, empty and very short texts
+    A match tells of the window that holds most of a template's shingles, the first of those; ``start`` and ``end`` are the
+    first and the last (exclusive) word of what is found, of words that are not marks alone. ``spans`` has every occurrence
+    (found, start, end) in turn: runs of the template's shingles in its order with gaps of at most a window's step that hold
+    the asked part of it, and what else a window holds of it in another order, overlapping windows as one. Null, empty and very short texts
     have no matches; a text of any length is read whole. Rows that repeat and rows without an id are scanned like others.
     Other columns are not read. No rows give no rows.
     """
+    span = T.StructType([T.StructField("found", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     one = T.StructType([T.StructField("template", T.IntegerType()), T.StructField("license", T.StringType()),
                         T.StructField("found", T.IntegerType()), T.StructField("shingles", T.IntegerType()),
-                        T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+                        T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
+                        T.StructField("spans", T.ArrayType(span))])
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("matches", T.ArrayType(one))])
 
     def run(batches):
@@ -141,7 +149,8 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
 
         index = Index(templates)
         arrow = pa.list_(pa.struct([("template", pa.int32()), ("license", pa.string()), ("found", pa.int32()),
-                                    ("shingles", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+                                    ("shingles", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
+                                    ("spans", pa.list_(pa.struct([("found", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])))]))
         for batch in batches:
             matches = [m for part in shingles.parts(batch.column(1)) for m in _matches(index, part, templates)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matches, arrow)], names=schema.names)
@@ -159,23 +168,52 @@ def _matches(index: Index, texts, templates) -> list[list[dict]]:
     own = every[np.repeat(bounds[:-1], sizes) + offset] if len(offset) else every[:0]
     ends = starts + sizes
     best: list[dict[int, dict]] = [{} for _ in range(len(texts))]
+    windows: dict[tuple[int, int], list[np.ndarray]] = {}
     for group, member, place in index.candidates(own.astype(np.uint32), sizes):
         number, template, need = group.templates[member]
         doc = int(np.searchsorted(ends, place, side="right"))
         window = own[place : min(place + 2 * group.step, int(ends[doc]))]
         hit = np.flatnonzero(np.isin(window, template))
         held = len(np.unique(window[hit]))
+        if held >= need:
+            windows.setdefault((doc, number), []).append(place - int(starts[doc]) + hit)
         if held >= need and held > best[doc].get(number, {"found": 0})["found"]:
             first = place - int(starts[doc])
             best[doc][number] = {"template": number, "license": templates[number][0], "found": held, "shingles": len(template),
                                  "start": first + int(hit[0]), "end": first + int(hit[-1]) + shingles.WIDTH}
+    members = {number: (template, need, group.step) for group in index.groups for number, template, need in group.templates}
+    for (doc, number), hits in windows.items():
+        text = own[int(starts[doc]) : int(ends[doc])]
+        template, need, step = members[number]
+        best[doc][number]["spans"] = [
+            {"found": found, "start": first, "end": end} for found, first, end in _occurrences(text, index.orders[number], template, need, step, hits)]
     return [[found[n] for n in sorted(found)] for found in best]
 
 
+def _occurrences(text: np.ndarray, order: np.ndarray, template: np.ndarray, need: int, step: int, windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(found, start, end) of each occurrence in ``windows``, the places of a template's shingles by verified window."""
+    at = np.unique(np.concatenate(windows))
+    place = order[np.searchsorted(template, text[at])]
+    breaks = np.flatnonzero((np.diff(place) <= 0) | (np.diff(at) > step)) + 1
+    runs = [run for run in np.split(at, breaks) if len(run) >= need]  # places ascend, so no shingle is there twice
+    taken = np.concatenate(runs) if runs else at[:0]
+    rest = []
+    for hit in sorted(windows, key=lambda x: int(x[0])):
+        left = np.setdiff1d(hit, taken)
+        if len(np.unique(text[left])) < need:
+            continue
+        if rest and left[0] < rest[-1][-1] + shingles.WIDTH:
+            rest[-1] = np.union1d(rest[-1], left)
+        else:
+            rest.append(left)
+    return sorted(((len(np.unique(text[run])), int(run[0]), int(run[-1]) + shingles.WIDTH) for run in [*runs, *rest]), key=lambda x: x[1:])
+
+
 @support.query("op8_license_scan")
 def op8(spark, sf_dir):
     found = scanned(support.table(spark, sf_dir, "documents"))
-    spans = F.transform("matches", lambda m: F.format_string("%d:%s:%d/%d:%d:%d", m["template"], m["license"], m["found"], m["shingles"], m["start"], m["end"]))
-    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+    spans = F.flatten(F.transform("matches", lambda m: F.transform(m["spans"], lambda x: F.format_string(
+        "%d:%s:%d/%d:%d:%d", m["template"], m["license"], x["found"], m["shingles"], x["start"], x["end"]))))
+    return found.select("doc_id", F.size(spans).cast("long").alias("n_matches"),
                         F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
                         F.array_join(spans, ",").alias("spans"))

@@ -73,3 +73,21 @@ def test_templates_below_the_shingle_width_are_refused():
 
 def test_nothing_in_nothing_out(spark):
     assert licenses.scanned(documents(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("number", range(len(licenses.TEMPLATES)))
+def test_every_occurrence_is_returned(spark, tmp_path, number):
+    from flowgauge.llm import support
+
+    template = licenses.TEMPLATES[number][1]
+    size = len(cleaned(template))
+    rows = [(1, f"{template} {prose(1, 300)} {template}"), (2, f"{template} {template}\n{template}"),
+            (3, prose(2, 40) + " " + template + " " + prose(3, 10) + " " + template.upper()), (4, prose(4, 50))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in support.QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()}
+    mine = {i: [tuple(map(int, x.split(":")[3:])) for x in r.spans.split(",") if x.split(":")[0] == str(number)] for i, r in got.items()}
+    gap = [len(cleaned(prose(s, n))) for s, n in ((1, 300), (2, 40), (3, 10))]
+    assert mine[1] == [(0, size), (size + gap[0], 2 * size + gap[0])]
+    assert mine[2] == [(0, size), (size, 2 * size), (2 * size, 3 * size)]
+    assert mine[3] == [(gap[1], gap[1] + size), (gap[1] + size + gap[2], gap[1] + 2 * size + gap[2])]
+    assert mine[4] == [] and got[1].n_matches == len(got[1].spans.split(","))
