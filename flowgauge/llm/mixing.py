@@ -67,7 +67,10 @@ def temperature(totals: DataFrame, entropy: float | None = None, epochs: float |
 
 
 def quotas(totals: DataFrame, alpha: float, budget: int | None) -> DataFrame:
-    """``totals`` with each source's weight, quota of tokens, whole epochs and what is left for a part of an epoch."""
+    """``totals`` with each source's weight, quota of tokens, whole epochs and what is left for a part of an epoch.
+
+    A source without words is one whole epoch if there is no budget.
+    """
     z = totals.agg(F.sum(_weight(F.lit(alpha))).alias("z")).first()[0] or 1.0
     rows = totals.withColumn("weight", _weight(F.lit(alpha)) / F.lit(z))
     if budget is None:  # the least budget that holds every source whole
@@ -76,7 +79,7 @@ def quotas(totals: DataFrame, alpha: float, budget: int | None) -> DataFrame:
     else:
         quota = F.floor(F.col("weight") * F.lit(float(budget)))
     rows = rows.withColumn("quota", quota.cast("long"))
-    whole = F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(0)
+    whole = F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(0 if budget is not None else 1)
     return rows.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens"))
 
 
@@ -93,7 +96,7 @@ def mixed(docs: DataFrame, entropy: float | None = None, epochs: float | None =
     read block after block, epoch after epoch; block_start is a block's first token in that stream. Documents of the block
     in which the quota ends are taken in hashed order as long as they fit, so a source never exceeds its quota.
     A null text counts as empty; a document without words is used whenever its block is. A missing source is a source of
-    its own. A source without any words gets no weight and is not used. Sources of equal size get equal weights; rows that
+    its own. A source without any words gets no weight; it is used once if ``budget`` is None, and else not at all. Sources of equal size get equal weights; rows that
     repeat are documents of their own. Clashing names of other columns are kept inside ``row``. No rows give no rows.
     """
     known = F.when(docs[source].isNull(), F.lit("")).otherwise(F.concat(F.lit("="), docs[source].cast("string")))
@@ -118,7 +121,7 @@ def mixed(docs: DataFrame, entropy: float | None = None, epochs: float | None =
 
     blocks = in_blocks(slim).groupBy("source", "block", "size", "quota", "whole", "rest").agg(F.sum("tokens").alias("held"))
     uses = blocks.withColumn("epoch", F.explode(F.expr("sequence(0L, whole - if(rest > 0, 0L, 1L))"))).where(
-        "epoch >= 0 and epoch * size < quota"
+        "epoch >= 0 and (epoch < whole or epoch * size < quota)"
     )
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "epoch", "source", "block").cast("binary"))
     uses = uses.withColumn("order", order).withColumn("slice", F.substring("order", 1, 2))

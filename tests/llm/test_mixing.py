@@ -96,3 +96,14 @@ def test_nothing_in_nothing_out_and_no_python(spark):
     plan = mixing.mixed(docs, entropy=0.9)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert "op1_source_mixing" in support.QUERIES
+
+
+def test_a_source_without_words_is_used_once_without_a_budget(spark):
+    rows = [(i, prose(i, 20), "a") for i in range(40)] + [(i, prose(i, 20), "b") for i in range(40, 50)]
+    rows += [(100, "", "c"), (101, " \n", "c"), (102, None, "c"), (103, "", None)]
+    docs = documents(spark, rows)
+    used = [r.row.doc_id for r in mixing.mixed(docs, epochs=2.0, budget=None).collect()]
+    assert {i for i, _, _ in rows} == set(used) and all(used.count(i) == 1 for i in (100, 101, 102, 103))
+    empty = documents(spark, rows[-4:])
+    assert sorted(r.row.doc_id for r in mixing.mixed(empty, epochs=2.0, budget=None).collect()) == [100, 101, 102, 103]
+    assert not {100, 101, 102, 103} & {r.row.doc_id for r in mixing.mixed(docs).collect()}
