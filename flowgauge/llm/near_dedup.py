@@ -1,7 +1,8 @@
 """Near-duplicates by MinHash: universal minima in bands, signature check, full sets, and connected components.
 
-Documents of equal word sequences are one class, so copies never meet in a band. Classes that share a band are a bucket.
-No bucket is spread into its pairs: first every class is compared with the leader (smallest id) that it meets in most
+Documents of equal word sequences are one class, named by the key of its words, so copies never meet in a band and an id
+that stands for several texts is in several classes. Classes that share a band are a bucket.
+No bucket is spread into its pairs: first every class is compared with the leader (smallest key) that it meets in most
 buckets, and what is linked so is contracted. After that only buckets that still hold several components matter, and of
 their pairs only those that include a stray, a class outside the bucket's largest component. Small buckets give them as
 pairs. Large ones are brought together by their largest component, and the full sets of their strays are held against those
@@ -54,15 +55,19 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """For each document: id and its full set of shingle hashes as bytes."""
-    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("shingles", T.BinaryType())])
+    """For each document: the key of its words as id, and its full set of shingle hashes as bytes."""
+    schema = T.StructType([T.StructField("id", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            sets = [own.tobytes() for _, own in shingles.shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=schema.names)
+            keys, sets = [], []
+            for words, own in shingles.shingle_sets(batch.column(1)):
+                keys.append(xxhash.xxh3_128_digest(words.tobytes()))
+                sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
 
     return support.by_batch(docs.select(docs[doc_id].alias("id"), docs[text].alias("text")), run, schema)
 
@@ -103,16 +108,19 @@ def _similar(left, right) -> bool:
     return 100 * shared >= SIMILAR * (len(x) + len(y) - shared)
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Id and text of the documents that ``ids`` names, once each."""
-    return support.chosen(docs.select(doc_id, text), doc_id, ids).dropDuplicates([doc_id])
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The shingles of the classes that ``keys`` names, once each."""
+    wanted = support.stored(keys.toDF("id").distinct(), "near-wanted")
+    named = classes.join(wanted, "id", "left_semi").select("doc")
+    sets = shingle_table(support.chosen(docs.select(doc_id, text), doc_id, named), text, doc_id)
+    return sets.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The links among ``pairs``: by signature, then on full sets."""
     near = support.stored(_filtered(_with_both(pairs, classes, "signature"), _may_agree), "near-pairs")
     ends = near.select("a").union(near.select("b"))
-    sets = shingle_table(_chosen(docs, ends, text, doc_id), text, doc_id)
+    sets = _sets(docs, ends, classes, text, doc_id)
     return support.stored(_filtered(_with_both(near, sets, "shingles"), _similar), "near-links")
 
 
@@ -140,11 +148,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _stray_links(members: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _stray_links(members: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Links (a, b) between strays and members of other components, for each group of ``members`` (top, id, component)."""
     counts = members.groupBy("top").agg(F.count(F.lit(1)).alias("members"), F.sum((F.col("component") != F.col("top")).cast("long")).alias("strays"))
     blocks = counts.select("top", F.ceil(F.col("members") / BLOCK).alias("rows"), F.ceil(F.col("strays") / BLOCK).alias("columns"))
-    sets = shingle_table(_chosen(docs, members.select("id"), text, doc_id), text, doc_id)
+    sets = _sets(docs, members.select("id"), classes, text, doc_id)
     known = members.join(blocks, "top").join(support.stored(sets, "near-sets"), "id")
     row, column = (F.pmod(F.xxhash64("id"), F.col(c)) for c in ("rows", "columns"))
     every = "sequence(0L, {} - 1L)"
@@ -156,7 +164,8 @@ def _stray_links(members: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
         import pyarrow as pa
 
         stray = table["stray"].to_numpy()
-        ids, parts = table["id"].to_numpy(), table["component"].to_numpy()
+        names, parts = (table[c].combine_chunks().dictionary_encode() for c in ("id", "component"))
+        ids, parts = names.indices.to_numpy().astype(np.int64), parts.indices.to_numpy().astype(np.int64)
         own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
         one, two = np.flatnonzero(stray), np.flatnonzero(~stray)
         sizes = np.fromiter(map(len, own), np.int64, len(own))
@@ -169,10 +178,10 @@ def _stray_links(members: DataFrame, docs: DataFrame, text: str, doc_id: str) ->
         # one link to a component is as good as many
         first = np.unique(pairs[np.lexsort(pairs.T[::-1])][:, :2], axis=0, return_index=True)[1] if len(pairs) else []
         pairs = pairs[np.lexsort(pairs.T[::-1])][first] if len(pairs) else pairs
-        return pa.table({"a": pa.array(pairs[:, 2], pa.int64()), "b": pa.array(pairs[:, 0], pa.int64())})
+        return pa.table({"a": names.dictionary.take(pa.array(pairs[:, 2])), "b": names.dictionary.take(pa.array(pairs[:, 0]))})
 
     support.ship(docs.sparkSession)
-    found = held.unionByName(strays).groupBy("top", "row", "column").applyInArrow(compare, "a long, b long")
+    found = held.unionByName(strays).groupBy("top", "row", "column").applyInArrow(compare, "a binary, b binary")
     return support.stored(found, "near-links")
 
 
@@ -219,7 +228,7 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str) -> list[DataFrame]:
-    """Tables of links (a, b) that connect all similar classes (id, n, signature)."""
+    """Tables of links (a, b) that connect all similar classes (id: the key, n, signature, doc: the id of a document of the class)."""
     width = 2 * ROWS
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                                     lambda i: F.xxhash64(i, F.col("signature").substr(i * width + 1, F.lit(width)))))
@@ -231,8 +240,8 @@ def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str) -> list[D
     met = members.where("id <> leader").groupBy("leader", "id", "n").agg(F.count(F.lit(1)).alias("times"))
     met = _sized(met.join(classes.select(F.col("id").alias("leader"), F.col("n").alias("n_other")), "leader"))
     met = support.stored(met.select(F.col("leader").alias("a"), F.col("id").alias("b"), "times"), "near-leaders")
-    best = met.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("best"))
-    first = best.select((-F.col("best.a")).alias("a"), "b")
+    best = met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("times"), "a")).alias("best"))
+    first = best.select("best.a", "b")
     found = [_verified(first, classes, docs, text, doc_id)]
 
     labelled = support.stored(_labelled(members.select("bucket", "id", "n"), found), "near-labelled")
@@ -247,7 +256,7 @@ def links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str) -> list[D
     more = crossed.distinct().join(first, ["a", "b"], "left_anti")
     found.append(_verified(more, classes, docs, text, doc_id))
     large = labelled.join(parts.where(~few).select("bucket", "top"), "bucket").select("top", "id", "component").distinct()
-    found.append(_stray_links(support.stored(large, "near-large"), docs, text, doc_id))
+    found.append(_stray_links(support.stored(large, "near-large"), classes, docs, text, doc_id))
     return found
 
 
@@ -256,30 +265,65 @@ def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
     A-Z is lower-cased; null texts, empty texts and texts of white space have no shingles and are linked with nothing.
     component_id is the smallest id that links reach, and the row that has it is kept. Rows that repeat an id with the same
-    words are one document. A row without an id is linked with nothing, has no component and is kept. Other columns are
+    words are one document; those with other words are another one, and of several with the smallest id one is kept. A row without an id is linked with nothing, has no component and is kept. Other columns are
     not read. No rows give no rows.
     """
+    return _judged(docs, text, doc_id).drop("key")
+
+
+def _judged(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """What ``marked`` returns, and the key of each row's words."""
     sketched = support.stored(sketches(docs, text, doc_id), "near-sketches")
     linked = sketched.where("key is not null and id is not null")
     first = linked.groupBy("key").agg(F.min(F.struct("id", "n", "signature")).alias("first"), F.count(F.lit(1)).alias("copies"))
     first = support.stored(first.select("key", "copies", "first.*"), "near-classes")
-    classes = first.select("id", "n", "signature")
+    classes = first.select(F.col("key").alias("id"), "n", "signature", F.col("id").alias("doc"))
     known = components(reduce(DataFrame.union, links(docs, classes, text, doc_id)).select(
         F.col("a").alias("u"), F.col("b").alias("v")))
-    facts = first.drop("signature").join(known.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or component is not null")
-    facts = support.stored(facts.select("key", "copies", F.coalesce("component", "id").alias("component")), "near-facts")
+    nodes = known.union(known.select("component", "component").distinct())
+    nodes = support.stored(nodes.join(first.select(F.col("key").alias("node"), "id"), "node"), "near-nodes")
+    least = nodes.groupBy("component").agg(F.min(F.struct("id", "node")).alias("least"), F.count(F.lit(1)).alias("held"))
     total = sketched.count()
-    rows = support.with_group_facts(sketched.select("id", "n", "key"), "key", facts, "copies", total)
+    nodes = support.with_group_facts(nodes.select("node", "component"), "component", support.stored(least, "near-least"), "held", total)
+    nodes = nodes.select(F.col("node").alias("key"), F.col("least.id").alias("component"), F.col("least.node").alias("top"))
+    facts = first.select("key", "copies", "id").join(nodes, "key", "left").where("copies > 1 or component is not null")
+    facts = facts.select("key", "copies", F.coalesce("component", "id").alias("component"), F.coalesce("top", "key").alias("top"))
+    rows = support.with_group_facts(sketched.select("id", "n", "key"), "key", support.stored(facts, "near-facts"), "copies", total)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    kept = F.col("id").isNull() | (F.col("id") == component) & F.coalesce(F.col("key") == F.col("top"), F.lit(True))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       F.col("id").eqNullSafe(component).alias("kept"))
+                       kept.alias("kept"), "key")
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``marked`` keeps, with all their columns; rows that repeat an id and its words, once each."""
-    drop = support.stored(marked(docs, text, doc_id).where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct(), "near-drop")
-    named = F.broadcast(drop) if drop.count() <= support.BROADCAST_IDS else drop
-    return docs.join(named, docs[doc_id] == F.col("_drop"), "left_anti")
+    """The rows of ``docs`` that ``marked`` keeps, with all their columns."""
+    judged = support.stored(_judged(docs, text, doc_id).select("doc_id", "key", "kept"), "near-judged")
+    drop = support.stored(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("key").alias("_key")).distinct(), "near-drop")
+    kept = support.chosen(judged.where("kept"), "doc_id", drop.select("_drop"))
+    both = support.stored(kept.select(F.col("doc_id").alias("_both")).distinct(), "near-both")  # ids of a kept and a dropped text
+    clear = support.stored(drop.select("_drop").distinct().join(both, F.col("_drop") == F.col("_both"), "left_anti"), "near-clear")
+
+    def named(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= support.BROADCAST_IDS else ids
+
+    rest = docs.join(named(clear), docs[doc_id] == F.col("_drop"), "left_anti")
+    if both.isEmpty():
+        return rest
+    single = rest.join(named(both), rest[doc_id] == F.col("_both"), "left_anti")
+    several = rest.join(named(both), rest[doc_id] == F.col("_both"), "left_semi")
+    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField("_own", T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            keys = [xxhash.xxh3_128_digest(words.tobytes()) if len(own) else None for words, own in shingles.shingle_sets(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
+
+    keyed = support.by_batch(several, run, schema)
+    keyed = keyed.join(drop, (keyed[doc_id] == F.col("_drop")) & (F.col("_own") == F.col("_key")), "left_anti")
+    return single.unionByName(keyed.drop("_own"))
 
 
 @support.query("op9_near_dedup")

@@ -148,3 +148,16 @@ def test_shingles_are_those_of_word_runs():
         assert len(sets[i]) == len(plain[i])
         for j in range(i):
             assert len(sets[i] & sets[j]) == len(plain[i] & plain[j])
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    near, other, third = prose(1, 80), prose(2, 80), prose(3, 60)
+    rows = [(1, near), (5, near + " tail"), (5, other), (6, other + " more"), (7, third), (7, third + " end"), (8, "")]
+    docs = documents(spark, rows)
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.marked(docs).collect()}
+    assert got[5, len(shingle_set(near + " tail"))] == (1, False)
+    assert got[5, len(shingle_set(other))] == (5, True) and got[6, len(shingle_set(other + " more"))] == (5, False)
+    kept = near_dedup.survivors(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert [x for x in left if x[0] != 7] == [(1, near), (5, other), (8, "")] and sum(i == 7 for i, _ in left) == 1
