@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "suffix_tree", "quality", "exact_dedup", "packing", "topk", "warc", "licenses", "near_dedup", "secrets")
+MODULES = ("mixing", "suffix_tree", "quality", "exact_dedup", "packing", "topk", "warc", "licenses", "near_dedup", "secrets",
+           "divergence")
 
 
 def load() -> None:

@@ -20,6 +20,11 @@ BROADCAST_IDS = 1_000_000
 _SHIPPED: set[str] = set()
 #: Bytes between words: space and the control characters 9 to 13.
 SPACES = r"\x20\x09-\x0D"
+SPACE_MARKS = " \t\n\v\f\r"
+#: A-Z to lower case, every other byte as it is.
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Bytes of text that a task holds as Python objects at a time, a single text excepted.
+SLICE = 4 << 20
 
 
 def query(name: str, sql: str | None = None):
@@ -71,6 +76,26 @@ def by_batch(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batch, column: int = 1, most: int = SLICE):
+    """``batch`` in runs of rows with at most ``most`` bytes in a text column; a longer text is a run of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first = held = 0
+    for row, size in enumerate(sizes):
+        if row > first and held + size > most:
+            yield batch.slice(first, row - first)
+            first, held = row, 0
+        held += size
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def word_chars(text: str) -> int:
+    """Code points that are not white space."""
+    return len(text) - sum(map(text.count, SPACE_MARKS))
+
+
 def crc_rest(key: Column, modulus: int) -> Column:
     """crc32 of a key's text, modulo ``modulus``; a missing key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
