@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("mixing", "suffix_tree", "quality", "exact_dedup", "packing", "topk", "warc", "licenses", "near_dedup", "secrets",
-           "divergence", "spelling")
+           "divergence", "spelling", "line_rules")
 
 
 def load() -> None:
