@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "*", app: str = "flowgauge", **conf: str) -> SparkSession:
@@ -51,9 +55,25 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` read back from a reliable checkpoint: an iterative plan stays short and survives lost executors."""
-    spark = df.sparkSession
+    """``df`` written to the shared folder and read back: computed once, an iterative plan stays short and knows nothing of
+    the rounds before it, and a lost executor costs its tasks only."""
+    path = scratch_dir(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python on the executors import this package, from the shared folder; once for each Spark application."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    if context.applicationId in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    where = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark, 'code')}/{root.name}.zip")
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(where.toString())
+    _SHIPPED.add(context.applicationId)

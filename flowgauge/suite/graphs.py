@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from flowgauge.functions import calendar as cal
 from flowgauge.operators import backfills as bf
 from flowgauge.plans import graph
 from flowgauge.suite.registry import query
+from flowgauge.suite.sql_views import FAILURES, FINAL, VIEWS
 
 _FORMAT = """CASE {g} WHEN 'daily' THEN strftime({t}, '%Y-%m-%d') WHEN 'weekly' THEN strftime({t}, '%G-W%V')
     ELSE strftime({t}, '%Y-%m') END"""
@@ -110,12 +113,56 @@ def _(v):
 COLUMNS = ["run_id", "task_no", "trigger_rule", "status", "skip_origin", "finished_at"]
 
 
-@query("n11_settled_rows")
+def _unrolled(moved: str, origin: str, more: str = "") -> dict[str, str]:
+    """One view for each task number, judged over the views of those before it: an upstream has a lower number.
+
+    ``moved`` and ``origin`` give a row's status and skip origin from ``j`` (its verdict, its missing upstream, whether it is
+    ``below`` a failed row); views are cumulative and end with ``v_done_g``.
+    """
+    views, before, reached = {}, "", ""
+    for number, letter in enumerate("abcdefg", 1):
+        below = "SELECT e.run_id, e.task_no FROM v_edges e JOIN v_tasks f ON f.run_id = e.run_id AND f.task_no = e.upstream_no" \
+                f" AND f.status = 'failed' WHERE e.task_no <= {number}"
+        views[f"v_below_{letter}"] = below if not reached else f"""{below} UNION SELECT run_id, task_no FROM {reached}
+            UNION SELECT e.run_id, e.task_no FROM v_edges e JOIN {reached} u ON u.run_id = e.run_id AND u.task_no = e.upstream_no
+              WHERE e.task_no = {number}"""
+        reached = f"v_below_{letter}"
+        ups = before or "(SELECT run_id, task_no, status, skip_origin FROM v_tasks WHERE false)"
+        views[f"v_judged_{letter}"] = f"""
+            SELECT c.*, {_VERDICT} AS verdict, (run_id, task_no) IN (SELECT (run_id, task_no) FROM {reached}) AS below FROM (
+              SELECT t.run_id, t.task_no, t.trigger_rule, t.status, t.skip_origin, count(u.run_id) AS total,
+                count(*) FILTER (u.status IN ('success','succeeded')) AS success,
+                count(*) FILTER (u.status IN {FAILURES}) AS failed, count(*) FILTER (u.status = 'skipped') AS skipped,
+                count(*) FILTER (u.status = 'skipped' AND u.skip_origin = 'rule') AS cascading,
+                count(*) FILTER (u.run_id IS NOT NULL AND u.status NOT IN {FINAL}) AS pending,
+                count(*) FILTER (e.upstream_no IS NOT NULL AND u.run_id IS NULL) AS missing
+              FROM v_tasks t LEFT JOIN v_edges e ON e.run_id = t.run_id AND e.task_no = t.task_no
+              LEFT JOIN {ups} u ON u.run_id = e.run_id AND u.task_no = e.upstream_no
+              WHERE t.task_no = {number} GROUP BY 1, 2, 3, 4, 5) c"""
+        own = f"SELECT run_id, task_no, {moved} AS status, {origin} AS skip_origin{more} FROM v_judged_{letter} j"
+        views[f"v_done_{letter}"] = own if not before else f"SELECT * FROM {before} UNION ALL {own}"
+        before = f"v_done_{letter}"
+    return views
+
+
+_VERDICT = re.search(r"CASE WHEN trigger_rule = 'always'.*?END AS verdict", VIEWS["v_verdicts"], re.S)[0].removesuffix(" AS verdict")
+_WAITS = "status IN ('waiting', 'waiting_paused')"
+_SETTLED = _unrolled(
+    f"""CASE WHEN NOT {_WAITS} THEN status WHEN missing > 0 OR verdict = 'fail' THEN 'failed' WHEN verdict = 'skip' THEN 'skipped'
+      WHEN verdict = 'upstream_failed' THEN 'upstream_failed' WHEN verdict = 'ready' THEN 'deps_ready' ELSE status END""",
+    f"CASE WHEN {_WAITS} AND missing = 0 AND verdict = 'skip' THEN 'rule' ELSE skip_origin END")
+_CHANGED = """below AND missing = 0 AND (status = 'upstream_failed' AND verdict <> 'upstream_failed'
+    OR status = 'skipped' AND coalesce(skip_origin = 'rule', false) AND verdict <> 'skip')"""
+_RESET = _unrolled(f"CASE WHEN {_CHANGED} THEN 'waiting' ELSE status END", f"CASE WHEN NOT ({_CHANGED}) THEN skip_origin END",
+                   f", {_CHANGED} AS reset")
+
+
+@query("n11_settled_rows", "SELECT run_id, task_no, status, skip_origin FROM v_done_g", **_SETTLED)
 def _(v):
     return graph.settle(v.tasks, v.edges, COLUMNS).select("run_id", "task_no", "status", "skip_origin")
 
 
-@query("n10_reset_set")
+@query("n10_reset_set", "SELECT run_id, task_no FROM v_done_g WHERE reset", **_RESET)
 def _(v):
     return graph.reset_set(v.tasks, v.edges, v.tasks.where("status = 'failed'"), COLUMNS)
 
