@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowgauge.functions import calendar as cal
+from flowgauge.operators import slices
+from flowgauge.session import cut_lineage
 
 _DAY_KEY = ["asset_name", "partition_date", "granularity"]
+#: Days from the year 1 to the end of the year 9999 are numbers of so many binary digits.
+_DATE_BITS = 22
 
 
 def day_facts(facts: DataFrame) -> DataFrame:
@@ -84,23 +88,8 @@ def consecutive(targets: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def last_event_before(probes: DataFrame, events: DataFrame, keys: list[str], moment: str, out: str) -> DataFrame:
-    """The newest event of the same keys at or before each probe's moment, or null.
-
-    Events and probes of a key are ordered inside slices of one hour; what a slice inherits is carried over the
-    key's slices. A hot key is so split by time, and each event is shuffled once.
-    """
-    ident = probes.select(*keys, moment).distinct()
-    line = events.select(*keys, F.col("event_time").alias("on"), F.col("event_time").alias("event"), F.lit(0).alias("probe"))
-    line = line.unionByName(ident.select(*keys, F.col(moment).alias("on"), F.lit(1).alias("probe")), allowMissingColumns=True)
-    line = line.withColumn("slice", F.date_trunc("HOUR", "on"))
-    inside = Window.partitionBy(*keys, "slice").orderBy("on", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    local = line.withColumn("seen", F.max("event").over(inside))
-    slices = line.groupBy(*keys, "slice").agg(F.max("event").alias("top"))
-    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.withColumn("carried", F.max("top").over(before)).select(*keys, "slice", "carried")
-    found = local.where("probe = 1").join(carried, [*keys, "slice"], "left").select(
-        *keys, F.col("on").alias(moment), F.coalesce("seen", "carried").alias(out))
-    return probes.join(found, [*keys, moment], "left")
+    """The newest event of the same keys at or before each probe's moment, or null."""
+    return slices.greatest_before(probes, events.withColumn("newest", F.col("event_time")), keys, moment, "newest", out)
 
 
 def latest_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
@@ -135,17 +124,37 @@ def consecutive_ready_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.withColumn("ready", F.coalesce(ready, F.lit(False))).drop("present", "ready_from")
 
 
-def within_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
-    """Freshness as of ``cutoff``, which is also ``now``: the latest date known by then, and its newest event by then.
+def newest_known_date(moments: DataFrame, facts: DataFrame) -> DataFrame:
+    """``moments`` (``asset_name``, ``target_date``, ``cutoff``) with the latest date up to the target that had a fact by the
+    cutoff, or null.
 
-    An asset's dates with their first times travel with its probes as one array, at most an entry per calendar day.
+    A scan by time finds the latest date known by the cutoff. Where that lies after the target there are two conditions, on
+    date and time: dates are counted in blocks of 1, 2, 4 … days, all dates up to a target are at most one block of each
+    size, and the same scan runs inside the blocks.
     """
-    firsts = facts.groupBy("asset_name", "partition_date").agg(F.min("event_time").alias("first_at"))
-    calendars = firsts.groupBy("asset_name").agg(
-        F.sort_array(F.collect_list(F.struct("partition_date", "first_at")), asc=False).alias("dates"))
-    moments = probes.select("asset_name", "target_date", "cutoff").distinct().join(calendars, "asset_name", "left")
-    known = F.filter("dates", lambda d: (d["partition_date"] <= F.col("target_date")) & (d["first_at"] <= F.col("cutoff")))
-    dated = moments.withColumn("partition_date", F.get(known, F.lit(0))["partition_date"]).drop("dates")
+    firsts = cut_lineage(facts.groupBy("asset_name", "partition_date").agg(F.min("event_time").alias("event_time")))
+    probe = ["asset_name", "target_date", "cutoff"]
+    simple = cut_lineage(slices.greatest_before(moments.select(*probe), firsts, ["asset_name"], "cutoff", "partition_date", "known"))
+    late = F.coalesce(F.col("known") > F.col("target_date"), F.lit(False))
+    answered, rest = simple.where(~late).withColumnRenamed("known", "partition_date"), simple.where(late).select(*probe)
+    if rest.isEmpty():
+        return moments.join(answered, probe, "left")
+    number, sizes = "datediff({}, date'0001-01-01')", f"sequence(0, {_DATE_BITS - 1})"
+    blocks = firsts.join(rest.select("asset_name").distinct(), "asset_name", "left_semi").select(
+        "asset_name", "partition_date", "event_time", F.expr(
+            f"inline(transform({sizes}, s -> struct(s AS size, shiftright({number.format('partition_date')}, s) AS block)))"))
+    until = f"({number.format('target_date')} + 1)"
+    covering = rest.select(*probe, F.expr(
+        f"inline(transform(filter({sizes}, s -> shiftright({until}, s) & 1 = 1),"
+        f" s -> struct(s AS size, shiftright({until}, s) - 1 AS block)))"))
+    found = slices.greatest_before(covering, blocks, ["asset_name", "size", "block"], "cutoff", "partition_date", "known")
+    best = found.groupBy(*probe).agg(F.max("known").alias("partition_date"))
+    return moments.join(answered.unionByName(best), probe, "left")
+
+
+def within_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Freshness as of ``cutoff``, which is also ``now``: the latest date known by then, and its newest event by then."""
+    dated = newest_known_date(probes.select("asset_name", "target_date", "cutoff").distinct(), facts)
     events = facts.select("asset_name", "partition_date", "event_time")
     found = last_event_before(
         dated.where("partition_date IS NOT NULL"), events, ["asset_name", "partition_date"], "cutoff", "event_time")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowgauge.functions import calendar as cal, timing, vocab
+from flowgauge.operators import slices
 
 
 def asset_staleness(assets: DataFrame, on_day: DataFrame, ever: DataFrame, now: Column) -> DataFrame:
@@ -185,3 +186,8 @@ def asset_matrix(tasks: DataFrame, producers: DataFrame, consumed: DataFrame, fi
         .when(F.col("runs").isNull() & F.col("awaited"), "queued")
     )
     return grid.join(made, ["asset", "run_date"], "left").select("asset", "run_date", cell.alias("cell"))
+
+
+def ordered_children(tasks: DataFrame) -> DataFrame:
+    """A run's rows with their position: by start, those without one first, then by name."""
+    return slices.numbered(tasks, ["run_id"], [F.asc_nulls_first("started_at"), F.col("task_name")], "position")

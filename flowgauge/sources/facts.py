@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowgauge.functions import calendar as cal, vocab
 from flowgauge.functions.schedules import strip
+from flowgauge.operators import slices
 
 FACT_TIME = "event_time"
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Stored facts; a table partitioned by ``partition_date`` prunes folders for every date bound below."""
+    """Facts that were stored by date: a date bound, or a join with a table of dates, reads the folders of those dates only."""
     return spark.read.parquet(path)
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
-    """Store facts by date. Rows of one date are spread by asset and time, so a hot asset fills many files."""
-    spread = facts.repartition("partition_date", F.pmod(F.xxhash64("asset_name", FACT_TIME), F.lit(32)))
-    spread.write.mode(mode).partitionBy("partition_date").parquet(path)
+    """Store facts in a folder for each date, with an asset's facts side by side.
+
+    Facts of a date and asset go to one file, and a hot asset's to several of like size; in a file they stand by asset and
+    time, so that a reader of one asset skips the row groups of others.
+    """
+    dealt = facts.hint("rebalance", F.col("partition_date"), F.col("asset_name"))
+    dealt.sortWithinPartitions("partition_date", "asset_name", FACT_TIME).write.mode(mode).partitionBy("partition_date").parquet(path)
+
+
+def facts_of_dates(facts: DataFrame, dates: DataFrame) -> DataFrame:
+    """The stored facts of the ``dates`` (one column). Spark finds the folders to read from the dates when it runs."""
+    wanted = dates.toDF("partition_date").where("partition_date IS NOT NULL").distinct()
+    return facts.join(wanted, "partition_date", "left_semi").select(*facts.columns)
 
 
 def scan_facts(facts: DataFrame, assets: list[str] | None = None, first=None, last=None) -> DataFrame:
@@ -73,19 +84,21 @@ def merge_facts(base: DataFrame, extra: DataFrame, first=None, last=None) -> Dat
 
 
 def assign_fact_times(facts: DataFrame, time_ms: str = "time_ms", source: str = "source",
-                      slice_ms: int = 3_600_000) -> DataFrame:
+                      slice_ms: int | None = None) -> DataFrame:
     """Give every fact of an asset its own millisecond: a collision moves to the next free one, in (time, source) order.
 
     The n-th fact gets ``n + max over the first n of (time - position)``. Positions and maxima are first taken inside
-    slices of time, then carried over the few slices of an asset, so no task ever sorts all facts of a hot asset.
+    slices, then carried over the slices of an asset, so no task ever sorts all facts of a hot asset. Slices hold about as
+    many rows each, or ``slice_ms`` of time if that is given.
     """
-    cut = facts.withColumn("slice", F.floor(F.col(time_ms) / slice_ms))
+    cut = slices.sliced(facts, ["asset_name"], [F.col(time_ms), F.col(source)]) if slice_ms is None else facts.withColumn(
+        "slice", F.floor(F.col(time_ms) / slice_ms))
     ordered = Window.partitionBy("asset_name", "slice").orderBy(time_ms, source)
     local = cut.withColumn("nth", F.row_number().over(ordered).cast("long")).withColumn(
         "lead_ms", F.max(F.col(time_ms) - F.col("nth")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    slices = local.groupBy("asset_name", "slice").agg(F.count("*").alias("n"), F.max("lead_ms").alias("top"))
-    before = Window.partitionBy("asset_name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offset = slices.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    tops = local.groupBy("asset_name", "slice").agg(F.count("*").alias("n"), F.max("lead_ms").alias("top"))
+    before = slices.earlier(["asset_name"])
+    offset = tops.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     carried = offset.withColumn("carried", F.max(F.col("top") - F.col("offset")).over(before))
     joined = local.join(carried.select("asset_name", "slice", "offset", "carried"), ["asset_name", "slice"])
     best = F.greatest(F.col("lead_ms") - F.col("offset"), F.col("carried"))

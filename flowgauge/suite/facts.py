@@ -6,20 +6,36 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions import calendar as cal
 from flowgauge.operators import asof, conditions, rules
+from flowgauge.session import scratch_dir
 from flowgauge.sources import facts as src
 from flowgauge.suite.registry import query
 from flowgauge.suite.sql_views import NOW_FACTS
 from flowgauge.suite.views import facts_now, with_gaps
 
 
+def stored(v):
+    """The facts as a table stored by date."""
+    path = scratch_dir(v.spark, "stored-facts")
+    src.write_facts(v.facts, path)
+    return src.read_facts(v.spark, path)
+
+
 @query("s01_scan_facts", """
     SELECT event_id, asset_name, partition_date::VARCHAR AS partition_date FROM v_facts
     WHERE asset_name IN ('click', 'error') AND partition_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-10'""")
 def _(v):
-    kept = src.scan_facts(v.facts, ["click", "error"], "2024-01-01", "2024-01-10")
+    kept = src.scan_facts(stored(v), ["click", "error"], "2024-01-01", "2024-01-10")
     return kept.select("event_id", "asset_name", "partition_date")
 
 
+@query("s01_facts_of_dates", """
+    SELECT event_id, asset_name, partition_date::VARCHAR AS partition_date FROM v_facts
+    WHERE partition_date IN (SELECT target_date FROM v_targets WHERE asset_name = 'view' AND day(target_date) % 7 = 1)""")
+def _(v):
+    wanted = v.targets.where("asset_name = 'view' AND day(target_date) % 7 = 1").select("target_date")
+    return src.facts_of_dates(stored(v), wanted).select("event_id", "asset_name", "partition_date")
+
+
 _NORMAL = {"v_normal": """
     SELECT event_id, asset_name, event_time, key, CASE WHEN partition_date IS NOT NULL THEN
         CASE WHEN regexp_matches(partition_date, '^\\d{4}-\\d{2}-\\d{2}$') THEN try_strptime(partition_date, '%Y-%m-%d') END
@@ -192,17 +208,16 @@ def _(v):
     SELECT asset_name, CASE WHEN t IS NULL THEN 'unknown' WHEN h > 72 THEN 'stale' WHEN h > 48 THEN 'warning'
       ELSE 'fresh' END AS status, t::VARCHAR AS known_at FROM (
       SELECT *, (epoch_us({NOW_FACTS}) // 1000 - epoch_us(t) // 1000) / 3600000.0::DOUBLE AS h FROM (
-        SELECT p_name AS asset_name, coalesce(max(ts) FILTER (ts::DATE = DATE '2024-01-29' AND event_id % 2 = 0),
-          max(ts) FILTER (event_id % 3 = 0)) AS t
+        SELECT p_name AS asset_name, coalesce(max(ts) FILTER (ts::DATE = DATE '2024-01-29'), max(ts)) AS t
         FROM part LEFT JOIN events ON user_id % 64 = length(p_name) AND event_id % 5 = p_size % 5 GROUP BY 1))""")
 def _(v):
     from flowgauge.operators import feeds
     owned = v.table("events").selectExpr("event_id", "ts", "user_id % 64 AS slot", "event_id % 5 AS part")
     named = v.table("part").selectExpr("p_name AS asset_name", "length(p_name) AS slot", "p_size % 5 AS part").distinct()
     seen = named.join(owned, ["slot", "part"]).select("asset_name", F.col("ts").alias("event_time"), "event_id")
-    on_day = seen.where("cast(event_time AS date) = date'2024-01-29' AND event_id % 2 = 0")
+    on_day = seen.where("cast(event_time AS date) = date'2024-01-29'")
     return feeds.asset_staleness(
-        named.select("asset_name").distinct(), on_day, seen.where("event_id % 3 = 0"), facts_now()
+        named.select("asset_name").distinct(), on_day, seen, facts_now()
     ).select("asset_name", "status", "known_at")
 
 

@@ -133,10 +133,8 @@ def _(v):
     SELECT run_id, task_no, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN pk % 6 <> 0 THEN started_at END
       NULLS FIRST, task_name) AS position FROM v_tasks""")
 def _(v):
-    from pyspark.sql import Window
     rows = v.tasks.withColumn("started_at", F.expr("CASE WHEN pk % 6 <> 0 THEN started_at END"))
-    order = Window.partitionBy("run_id").orderBy(F.asc_nulls_first("started_at"), "task_name")
-    return rows.select("run_id", "task_no", F.row_number().over(order).alias("position"))
+    return feeds.ordered_children(rows).select("run_id", "task_no", "position")
 
 
 @query("u01_unified_feed", """
