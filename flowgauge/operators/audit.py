@@ -117,7 +117,11 @@ def _answered() -> Column:
 
 
 def unfounded_ends(runs: DataFrame, tasks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Runs whose end does not follow from their rows: unanswered, ended early, or answered early."""
+    """Runs whose end does not follow from their rows: unanswered, ended early, or answered early.
+
+    An answer carries how many rows were ``unfinished`` when it was given: a run that was answered rightly and restarted
+    later has open rows now, and no violation.
+    """
     live = runs.where("status <> 'creating'")
     state = live.join(_open_per_run(tasks), "run_id", "left").withColumn("open_rows", F.coalesce("open_rows", F.lit(0)))
     unanswered = state.where((F.col("open_rows") == 0) & F.col("token").isNotNull() & ~_answered()
@@ -127,7 +131,7 @@ def unfounded_ends(runs: DataFrame, tasks: DataFrame, answers: DataFrame) -> Dat
     ended = live.where(F.col("execution_ended") & ~F.col("stop_mark")).select("run_id", "execution_ended_at")
     early = open_rows.join(raced, TASK, "left_anti").join(ended, "run_id").where(
         ~F.coalesce(F.col("waiting_since") > F.col("execution_ended_at"), F.lit(False)))
-    answered = answers.where(~F.col("stop_mark")).join(open_rows.select("run_id").distinct(), "run_id", "left_semi")
+    answered = answers.where(~F.col("stop_mark") & (F.col("unfinished") > 0))
     return (
         unanswered.select("run_id", F.lit("not answered").alias("violation"))
         .unionByName(early.select("run_id", F.lit("ended early").alias("violation")).distinct())

@@ -118,7 +118,7 @@ _LEGAL = f"""coalesce(CASE writer
       WHEN 'waiting_decision' THEN new_status IN ('failed', 'stopped') WHEN 'pending' THEN new_status = 'stopped'
       WHEN 'waiting_delay' THEN new_status = 'stopped'
       WHEN 'upstream_failed' THEN new_status = 'waiting' WHEN 'skipped' THEN new_status = 'waiting' END END, false)"""
-_WAKING = f"""CASE new_status WHEN 'skipped' THEN old_status IN {_UNSUCCESSFUL} WHEN 'success' THEN old_status IN {_UNSUCCESSFUL}
+WAKING = f"""CASE new_status WHEN 'skipped' THEN old_status IN {_UNSUCCESSFUL} WHEN 'success' THEN old_status IN {_UNSUCCESSFUL}
     WHEN 'upstream_failed' THEN old_status IN ('waiting', 'waiting_paused') WHEN 'failed' THEN old_status IN {_OPEN}
     WHEN 'stopped' THEN old_status IN {_OPEN} WHEN 'waiting_decision' THEN old_status = 'running'
     WHEN 'waiting' THEN old_status IN {_RESTARTED} END"""
@@ -131,7 +131,7 @@ def _(v):
 
 
 @query("p12_waking_changes", f"""
-    SELECT run_id, task_no, seq FROM v_row_log WHERE old_status IS NOT NULL AND {_WAKING}""")
+    SELECT run_id, task_no, seq FROM v_row_log WHERE old_status IS NOT NULL AND {WAKING}""")
 def _(v):
     return audit.waking_changes(v.row_log).select("run_id", "task_no", "seq")
 
@@ -189,7 +189,7 @@ _OPEN = {"v_open": f"""SELECT run_id, count(*) FILTER (status NOT IN {FINAL}) AS
     UNION ALL SELECT DISTINCT r.run_id, 'ended early' FROM v_a_runs r JOIN v_a_tasks t USING (run_id)
       WHERE r.status <> 'creating' AND execution_ended AND NOT stop_mark AND t.status NOT IN {FINAL}
         AND NOT (r.run_id % 4 = 0 AND t.task_no = r.run_id % 3) AND t.waiting_since <= r.execution_ended_at
-    UNION ALL SELECT run_id, 'answered early' FROM v_open WHERE run_id % 4 = 0 AND run_id % 17 <> 0 AND n > 0""", **_OPEN)
+    UNION ALL SELECT run_id, 'answered early' FROM v_heads WHERE run_id % 12 = 0 AND run_id % 17 <> 0 AND run_id % 5 > 0""", **_OPEN)
 def _(v):
     return audit.unfounded_ends(v.audit_runs, v.audit_tasks, v.audit_answers)
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import functions as F
 
 from flowgauge.functions import calendar as cal
-from flowgauge.operators import conditions
+from flowgauge.session import cut_lineage
 from flowgauge.streaming import jobs
 from flowgauge.suite import facts as fact_suite
 from flowgauge.suite.registry import query
+from flowgauge.suite.state import WAKING
 from flowgauge.suite.sql_views import NOW_FACTS
-from flowgauge.suite.views import facts_now, facts_of, raw_facts_of, with_gaps
+from flowgauge.suite.views import FACTS_NOW, facts_of, raw_facts_of, with_gaps
 
 
 def events(v):
@@ -23,6 +27,15 @@ def log_stream(v):
     return jobs.read_parquet_stream(v.spark, folder, v.row_log.schema, files_per_batch=3)
 
 
+def timely_log_stream(v):
+    """The log as it comes in time: a batch for what was written before the middle of 1995, and one for the rest."""
+    folder = jobs.new_folder(v.spark, "row-log")
+    early = F.col("at") < F.lit("1995-06-17").cast("timestamp_ntz")
+    for part in (early, ~early):
+        v.row_log.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.read_parquet_stream(v.spark, folder, v.row_log.schema, files_per_batch=1)
+
+
 @query("r01_ingest_facts", """
     SELECT asset_name, min(event_time)::VARCHAR AS event_time, key AS partition_key, min(day)::VARCHAR AS partition_date,
       min(granularity) AS granularity FROM v_normal WHERE day IS NOT NULL AND granularity IS NOT NULL
@@ -50,7 +63,8 @@ def _(v):
         v.spark, facts_of(events(v)), fact_suite.waits(v), jobs.new_folder(v.spark, "wake")).rows()
 
 
-@query("r04_wake_changed_runs")
+@query("r04_wake_changed_runs", f"""
+    SELECT run_id, count(*) AS changes FROM v_row_log WHERE old_status IS NOT NULL AND {WAKING} GROUP BY 1""")
 def _(v):
     table = jobs.wake_changed_runs(v.spark, log_stream(v), jobs.new_folder(v.spark, "changes"))
     return table.rows().groupBy("run_id").agg(F.sum("changes").alias("changes"))
@@ -63,7 +77,7 @@ def _(v):
       SELECT *, new_status AS status, row_number() OVER (PARTITION BY run_id, task_no
         ORDER BY generation_after DESC, "at" DESC, seq DESC) AS n FROM v_row_log) WHERE n = 1 GROUP BY 1""")
 def _(v):
-    return jobs.current_run_status(v.spark, log_stream(v), jobs.new_folder(v.spark, "status"))
+    return jobs.current_run_status(v.spark, timely_log_stream(v), jobs.new_folder(v.spark, "status")).rows()
 
 
 @query("r06_hourly_counts", """
@@ -99,16 +113,31 @@ def _(v):
         v.spark, with_gaps(facts_of(events(v))), expected(v), jobs.new_folder(v.spark, "missing")).rows()
 
 
-@query("r08_late_facts")
+def _on_time(views):
+    """The views of push evaluation over the facts that came in time, under names of their own."""
+    text = {name.replace("v_", "v_timely_", 1): sql for name, sql in views.items()}
+    for name in [*views, "v_facts"]:
+        text = {k: re.sub(rf"\b{name}\b", name.replace("v_", "v_timely_", 1), sql) for k, sql in text.items()}
+    return {"v_timely_facts": "SELECT * FROM v_facts WHERE event_id % 13 <> 0"} | text
+
+
+_RECENT = f" AND event_time >= {NOW_FACTS} - INTERVAL 48 HOUR"
+
+
+@query("r08_late_facts", """
+    SELECT run_name, consumer, run_date, kind, trigger_asset, first_event_time::VARCHAR AS first_event_time FROM v_requests
+    WHERE run_name NOT IN (SELECT run_name FROM v_timely_requests)""",
+       **_on_time(fact_suite._PUSH), **{**fact_suite._PUSH, "v_pairs": fact_suite._PUSH["v_pairs"] + _RECENT})
 def _(v):
-    """Facts that came late: the hourly replay of the last 48 hours requests what the stream could not."""
-    tree = fact_suite.nodes(v)
-    on_time = facts_of(events(v)).where("event_id % 13 <> 0")
-    subs = fact_suite.subscriptions(v)
-    emitted = jobs.push_evaluation(v.spark, on_time, subs, tree, jobs.new_folder(v.spark, "on-time"))
-    recent = v.facts.where(F.col("event_time") >= facts_now() - F.expr("interval 48 hours"))
-    asked = conditions.push_requests(recent, subs, tree, v.facts, conditions.depth_of(tree))
-    return conditions.replay_requests(asked, emitted.rows())
+    """Every thirteenth fact comes late: what the catch-up of the last 48 hours requests beside the stream."""
+    tree, subs = fact_suite.nodes(v), fact_suite.subscriptions(v)
+    facts = facts_of(events(v))
+    tables = jobs.push_evaluation(v.spark, facts.where("event_id % 13 <> 0"), subs, tree, jobs.new_folder(v.spark, "on-time"))
+    emitted = tables.rows().select("run_name").withColumn("old", F.lit(True))
+    emitted = cut_lineage(emitted)
+    jobs.record_late(tables, v.facts.where("event_id % 13 = 0"), 1)
+    jobs.replay_late(v.spark, tables, subs, tree, dt.datetime.fromisoformat(FACTS_NOW))
+    return tables.rows().join(emitted, "run_name", "left_anti")
 
 
 @query("r10_sliding_success", """

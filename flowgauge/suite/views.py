@@ -423,4 +423,4 @@ class Views:
     def audit_answers(self) -> DataFrame:
         return self.run_heads.where("run_id % 4 = 0").selectExpr(
             "run_id", "concat('tk', run_id) AS token", "run_id % 17 = 0 AS stop_mark",
-            "cast(run_id % 3 AS int) AS raced_task")
+            "cast(run_id % 3 AS int) AS raced_task", "cast(CASE WHEN run_id % 12 = 0 THEN run_id % 5 ELSE 0 END AS int) AS unfinished")

@@ -53,8 +53,12 @@ def test_ends(spark):
             4, execution_ended=True, execution_ended_at=NOW - dt.timedelta(hours=1)),
         run(5, execution_ended=True, execution_ended_at=NOW, stop_mark=True)], RUNS)
     tasks = spark.createDataFrame([task(1, "success"), task(2, "success"), task(3, "running"), task(4, "waiting"), task(5, "running")], TASKS)
-    answers = spark.createDataFrame([], "run_id long, token string, stop_mark boolean, raced_task int")
-    assert ids(audit.unfounded_ends(runs, tasks, answers)) == [1, 3]
+    kind = "run_id long, token string, stop_mark boolean, raced_task int, unfinished int"
+    assert ids(audit.unfounded_ends(runs, tasks, spark.createDataFrame([], kind))) == [1, 3]
+    # the first was restarted after a right answer, the second answered too early, the third stopped
+    answers = spark.createDataFrame([(4, "t", False, None, 0), (2, "t", False, None, 2), (5, "t", True, None, 1)], kind)
+    found = audit.unfounded_ends(runs, tasks, answers).where("violation = 'answered early'")
+    assert ids(found) == [2]
 
 
 def test_expiry_and_liveness(spark):
