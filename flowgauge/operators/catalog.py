@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Type names and the names they stand for, and the names that stand alone.
@@ -104,35 +106,41 @@ def schema_drift(declared: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def contract_violations(data: DataFrame, contract: list[dict]) -> DataFrame:
-    """Rows that break each declared rule, counted: nulls, lengths in one pass, keys in one grouping per key."""
+    """Rows that break each declared rule, counted: nulls, lengths in one pass, keys in one grouping per key.
+
+    A contract without a rule has no violations. Column names may hold dots and other marks.
+    """
+
+    def column(name: str) -> Column:
+        return F.col("`" + name.replace("`", "``") + "`")
+
     checks, keys = [], []
-    for column in contract:
-        name = column["name"]
-        if not column.get("nullable", True):
-            checks.append((name, "not null", F.count_if(F.col(name).isNull())))
-        if column.get("max_length"):
-            checks.append((name, "length", F.count_if(F.length(name) > column["max_length"])))
-        if column.get("bytes"):
-            checks.append((name, "byte length", F.count_if(F.octet_length(name) != column["bytes"])))
-        if column.get("unique"):
+    for declared in contract:
+        name = declared["name"]
+        if not declared.get("nullable", True):
+            checks.append((name, "not null", F.count_if(column(name).isNull())))
+        if declared.get("max_length"):
+            checks.append((name, "length", F.count_if(F.length(column(name)) > declared["max_length"])))
+        if declared.get("bytes"):
+            checks.append((name, "byte length", F.count_if(F.octet_length(column(name)) != declared["bytes"])))
+        if declared.get("unique"):
             keys.append(([name], "unique"))
     primary = [c["name"] for c in contract if c.get("primary_key")]
     if primary:
         keys.append((primary, "primary key"))
-    counts = data.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(checks)]) if checks else None
-    parts = []
-    if counts is not None:
+    parts = [data.sparkSession.createDataFrame([], "column_name string, rule string, violations long")]
+    if checks:
+        counts = data.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(checks)])
         parts.append(counts.select(F.explode(F.array(*[
             F.struct(F.lit(n).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"c{i}").alias("violations"))
             for i, (n, rule, _) in enumerate(checks)])).alias("v")).select("v.*"))
     for names, rule in keys:
-        repeated = data.where(" AND ".join(f"`{n}` IS NOT NULL" for n in names)).groupBy(*names).count().where("count > 1")
-        parts.append(repeated.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("violations")).select(
+        held = reduce(Column.__and__, [column(n).isNotNull() for n in names])
+        repeated = data.where(held).groupBy(*[column(n).alias(f"k{i}") for i, n in enumerate(names)]).agg(
+            F.count("*").alias("held")).where("held > 1")
+        parts.append(repeated.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("violations")).select(
             F.lit(",".join(names)).alias("column_name"), F.lit(rule).alias("rule"), "violations"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where("violations > 0")
+    return reduce(DataFrame.unionByName, parts).where("violations > 0")
 
 
 def granularity_mismatches(assets: DataFrame, inferred: Column) -> DataFrame:

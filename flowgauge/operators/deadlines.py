@@ -173,7 +173,7 @@ def lost_hints(rows: DataFrame, check_time: Column) -> DataFrame:
     return rows.where(~F.col("left_at") & ~F.col("countdown_ended") & F.col("enabled_at").isNotNull() & late)
 
 
-def lost_hint_warnings(lost: DataFrame, names: int = 5) -> DataFrame:
+def lost_hint_warnings(lost: DataFrame, names: int) -> DataFrame:
     """Per run, how many rows lost their hint and the first names; names are cut before they are collected."""
     counted = lost.groupBy("run_id").agg(F.count("*").alias("tasks"))
     first = lost.withColumn("n", F.row_number().over(Window.partitionBy("run_id").orderBy("task_name"))).where(
@@ -212,7 +212,7 @@ def due_runs(rows: DataFrame, now: Column) -> DataFrame:
     return timed.groupBy("run_id").agg(F.min("due_at").alias("due_at")).orderBy("due_at", "run_id")
 
 
-def fair_quota(rows: DataFrame, now: Column, total: int = 200) -> DataFrame:
+def fair_quota(rows: DataFrame, now: Column, total: int) -> DataFrame:
     """The started rows a sweep looks at: the longest due first, a quarter of the total per run at most, and a quarter
     kept in hand. Runs are served in due order, so only as many runs as there are calls can be reached at all."""
     share, usable = max(1, total // 4), total - total // 4

@@ -167,4 +167,4 @@ def _(v):
     SELECT run_id, task_no, due_at::VARCHAR AS due_at FROM due JOIN shares USING (run_id) WHERE n <= 50 AND n <= l
     """.replace("WITH due", "SELECT * FROM (WITH due") + ")", **_TIMES)
 def _(v):
-    return dl.fair_quota(v.row_times, runs_now())
+    return dl.fair_quota(v.row_times, runs_now(), total=200)

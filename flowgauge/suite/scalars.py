@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowgauge.functions import calendar as cal, schedules, text, timing, vocab
+from flowgauge.operators import search
+from flowgauge.session import cut_lineage
 from flowgauge.suite.registry import query
 from flowgauge.suite.sql_views import NOW_FACTS, texts
 from flowgauge.suite.views import Views, facts_now, runs_now
@@ -283,6 +285,21 @@ def _(v):
         text.matches_search(F.expr("concat(p_name, ' ', p_brand)"), F.lit("  BRAND#1  red "))).select("p_partkey")
 
 
+@query("p05_search_index", """
+    WITH asked AS (SELECT p_size AS search_id, CASE p_size % 4 WHEN 0 THEN upper(left(min(p_name), 4)) || '  ' || right(min(p_brand), 1)
+        WHEN 1 THEN min(p_brand) WHEN 2 THEN right(min(p_name), 5) || ' a' ELSE 'zz' || p_size END AS search FROM part GROUP BY p_size)
+    SELECT search_id, p_partkey FROM asked, part WHERE len(list_filter(regexp_split_to_array(lower(search), '\\s+'),
+      lambda t: t <> '' AND NOT contains(lower(p_name || ' ' || p_brand), t))) = 0""".replace("WITH asked", "SELECT * FROM (WITH asked") + ")")
+def _(v):
+    part = v.table("part")
+    registry = part.select("p_partkey", F.expr("concat(p_name, ' ', p_brand)").alias("shown"))
+    searches = part.groupBy(F.col("p_size").alias("search_id")).agg(F.expr(
+        "CASE p_size % 4 WHEN 0 THEN upper(left(min(p_name), 4)) || '  ' || right(min(p_brand), 1) WHEN 1 THEN min(p_brand)"
+        " WHEN 2 THEN right(min(p_name), 5) || ' a' ELSE 'zz' || p_size END").alias("search"))
+    index = cut_lineage(search.postings(registry, "p_partkey", "shown"))
+    return search.search(registry, index, searches, "p_partkey", "shown")
+
+
 @query("p11_restart_allowed", """
     SELECT run_id, started_at + INTERVAL 275 DAY > TIMESTAMP '2001-12-31' AS allowed FROM v_heads""")
 def _(v):
