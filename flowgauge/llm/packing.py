@@ -1,17 +1,19 @@
-"""Best-fit packing of tokenised documents into sequences, improved by swaps.
+"""Best-fit packing of tokenised documents into sequences by a local search over swaps.
 
 Tasks tokenise documents and cut only those longer than a sequence. Pieces as long as a sequence are done; the others go,
-by the hash of their number, to shards of about SHARD pieces, each packed in one task. A shard starts from best-fit
-decreasing and then takes its emptiest bins apart: it moves a document into another underfull bin, or exchanges one for
-one or two for one, whenever that raises the sum of squared fills, until the bin is empty or no exchange helps. It stops
-where the free space left could not hold another bin, so a shard uses at most about one bin more than its tokens need.
+by the hash of their number, to shards of about SHARD pieces, each packed in one task. A shard's pieces are put into bins as
+they come, each into the fullest bin that has room. The search does the rest: the emptiest bin gives a document away, one for
+a smaller one, or two for one that is smaller than both together, to the underfull bin that is then filled best. Every step
+raises the sum of squared fills. It goes on, bin by bin, until no underfull bin has a step left; bins that were emptied go.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -20,12 +22,20 @@ from flowgauge.llm import support
 
 CAPACITY = 2048
 SHARD = 1 << 14
-#: Words whose ids a worker keeps; beyond that it starts anew. It bounds memory and changes no result.
-CACHE = 1_000_000
+#: Words whose ids a worker keeps, some 200 bytes each; the ones not met for longest go. It bounds memory and changes no result.
+CACHE = 200_000
 #: Bytes of text that are tokenised together.
-PART = 8 << 20
-#: The search ends when so many of the emptiest bins of a shard have nothing to give.
-GIVERS = 8
+PART = 4 << 20
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level tokenizers write bytes as: printable ones for themselves, others from 256 on in turn."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -37,7 +47,7 @@ class Encoder:
     """
 
     #: A word of Latin letters, and marks behind it. Other words are passed on as they are.
-    _SIMPLE = re.compile(rb"([a-z\xc3\x9f-\xbf]*?(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([.,!|;:?$%&*]*)")
+    _SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,!|;:?$%&*]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,13 +56,33 @@ class Encoder:
         self._mark_id = min(self._tokenizer.get_added_tokens_decoder())
         self._mark = self._tokenizer.id_to_token(self._mark_id)
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.asarray(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that must be tokenised; known ones are kept for longer."""
+        missing = words - self._known.keys()
+        met = missing & self._older.keys()
+        self._known.update((w, self._older[w]) for w in met)
+        return missing - met
+
+    @staticmethod
+    @cache
+    def _pack(count: int):
+        return struct.Struct(f"<{count}I").pack
+
+    def _learn_letters(self, words: set[bytes]) -> None:
+        """The ids of words of letters alone: each is one run for the tokenizer's model, whose letters are bytes."""
+        tokenize = self._tokenizer.model.tokenize
+        for word in self._unknown(words):
+            run = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_LETTERS)
+            self._known[word] = self._pack(len(ids := [t.id for t in tokenize(run)]))(*ids)
 
     def _learn(self, words: set[bytes]) -> None:
-        """The ids of some words, tokenised together: a special string between them tells their ids apart."""
-        missing = list(words - self._known.keys())
+        """The ids of any words, tokenised together: a special string between them tells their ids apart."""
+        missing = list(self._unknown(words))
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             ids = self._ids(self._mark.join([w.decode() for w in part]))
@@ -61,14 +91,17 @@ class Encoder:
                 self._known[word] = ids[start:end].tobytes()
 
     def _of_words(self, words: list[bytes]) -> list[bytes]:
+        if len(self._known) > CACHE // 2:
+            self._known, self._older = {}, self._known
         known = self._known
-        if len(known) > CACHE:
-            known.clear()
-        if missing := set(words) - known.keys():
-            split = {w: m.groups() for w in missing if (m := self._SIMPLE.fullmatch(w)) and m[2]}
-            self._learn((missing - split.keys()).union(*split.values()))
-            for word, (letters, marks) in split.items():
-                known[word] = known[letters] + known[marks]
+        if missing := self._unknown(set(words)):
+            letters = {w for w in missing if w.isalpha()}
+            split = {w: m.groups() for w in missing - letters if (m := self._SIMPLE.fullmatch(w))}
+            self._learn_letters(letters.union(run for run, _ in split.values()))
+            self._learn((missing - letters - split.keys()).union(marks for _, marks in split.values() if marks))
+            for word, (run, marks) in split.items():
+                if marks:
+                    known[word] = known[run] + known[marks]
         return [known[w] for w in words]
 
     def encode(self, texts) -> Iterator[np.ndarray]:
@@ -91,7 +124,7 @@ class Encoder:
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(apart, "", texts)))
         coded = words.flatten().dictionary_encode()
         which = coded.indices.to_numpy()
-        found = self._of_words([w.encode() for w in coded.dictionary.to_pylist()])
+        found = self._of_words(coded.dictionary.cast("binary").to_pylist())
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         table = np.frombuffer(b"".join(found), "<u4")
         first = np.cumsum(lengths) - lengths
@@ -151,95 +184,146 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Indices of ``lengths`` (each at most ``capacity``) by bin: best-fit decreasing, then the swap search."""
-    bins: list[list[int]] = []
-    free: list[int] = []
-    by_free: dict[int, list[int]] = {}
-    levels = 0  # bit f: some bin has f free
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        need = int(lengths[i])
-        fitting = levels >> need
-        if fitting:
-            room = need + (fitting & -fitting).bit_length() - 1
-            at = by_free[room].pop()
-            if not by_free[room]:
-                levels &= ~(1 << room)
-        else:
-            room, at = capacity, len(bins)
-            bins.append([])
-            free.append(capacity)
-        bins[at].append(i)
-        free[at] = room - need
-        if free[at]:
-            by_free.setdefault(free[at], []).append(at)
-            levels |= 1 << free[at]
-    return _swap_search(bins, free, lengths.tolist(), capacity)
-
-
-def _swap_search(bins: list[list[int]], free: list[int], size: list[int], capacity: int) -> list[list[int]]:
-    """Empty bins by moves and exchanges between underfull bins, each of which raises the sum of squared fills.
-
-    The emptiest bin gives: a document for nothing, for a smaller one, or two documents for one that is smaller than both
-    together. The taker is at least as full, so every such step raises the sum, and the search ends.
-    """
-    stuck: set[int] = set()
-    open_bins = {b for b in range(len(bins)) if free[b]}
-    total = sum(free)
-    while len(stuck) < GIVERS and (givers := open_bins - stuck):
-        giver = max(givers, key=lambda b: (free[b], b))
-        if total - free[giver] < capacity - free[giver]:
-            break  # what is free elsewhere could not hold this bin
-        helped = False
-        for taker in sorted(open_bins, key=lambda b: (-free[b], b)):
-            if taker == giver or free[taker] > free[giver]:
-                continue
-            while free[taker] and bins[giver] and (step := _best_step(bins[giver], bins[taker], free[taker], size)):
-                gain, out, back = step
-                bins[giver] = [i for i in bins[giver] if i not in out] + back
-                bins[taker] = [i for i in bins[taker] if i not in back] + out
-                free[giver] += gain
-                free[taker] -= gain
-                helped = True
-            if not free[taker]:
-                open_bins.discard(taker)
-            if not bins[giver]:
-                break
-        if not bins[giver]:
-            open_bins.discard(giver)
-            total -= capacity
-        stuck = set() if helped else stuck | {giver}
-    return [b for b in bins if b]
-
-
-def _best_step(giver: list[int], taker: list[int], room: int, size: list[int]) -> tuple[int, list[int], list[int]] | None:
-    """The step that fills most of ``room``: its gain, what the giver gives and what it takes back.
-
-    Sets of sizes are bits of a number: which sizes the giver has, and which sums two of its documents have.
+    """Indices of ``lengths`` (each at most ``capacity``) by bin."""
+    search = SwapSearch(lengths.tolist(), capacity)
+    for i in range(len(lengths)):
+        search.place(i)
+    return search.run()
+
+
+class SwapSearch:
+    """Bins of documents, and steps between underfull ones.
+
+    Underfull bins are known by what they have free, and each of their documents by its own size and that together: a document,
+    or two, of that size can take its place and fill the bin. So a step is found without a look at all bins. The sizes at hand
+    are bits of a number, whose lowest one from the wanted size on leaves the least free.
     """
-    ones = pairs = 0
-    for i in giver:
-        pairs |= ones << size[i]
-        ones |= 1 << size[i]
-    fits = (2 << room) - 2  # gains from 1 to room
-    best = (0, 0, None, False)
-    for j in [None, *taker]:
-        back = 0 if j is None else size[j]
-        for two, sums in ((False, ones), (True, pairs))[: 1 if j is None else 2]:
-            gain = ((sums >> back) & fits).bit_length() - 1
-            if gain > best[0]:
-                best = (gain, back + gain, j, two)
-    gain, given, j, two = best
-    if gain <= 0:
+
+    def __init__(self, size: list[int], capacity: int):
+        self.size, self.capacity = size, capacity
+        self.bins: list[list[int]] = []
+        self.free: list[int] = []
+        self._rooms: dict[int, dict[int, None]] = {}
+        self._places: dict[int, dict[int, int]] = {}
+        self._room_sizes = self._place_sizes = 0
+        #: How often a step was a move, an exchange of one for one, or of two for one, and how many bins were emptied.
+        self.steps = {"move": 0, "one": 0, "two": 0, "emptied": 0}
+
+    def place(self, i: int) -> None:
+        """Put a document into the fullest bin that has room, or a new one."""
+        room = self._least(self._room_sizes, self.size[i])
+        if room is None:
+            self.add([i])
+        else:
+            at = next(iter(self._rooms[room]))
+            self._hide(at)
+            self.bins[at].append(i)
+            self.free[at] -= self.size[i]
+            self._show(at)
+
+    def add(self, held: list[int]) -> None:
+        """A new bin of these documents."""
+        self.bins.append(list(held))
+        self.free.append(self.capacity - sum(self.size[i] for i in held))
+        self._show(len(self.bins) - 1)
+
+    @staticmethod
+    def _least(sizes: int, wanted: int) -> int | None:
+        fitting = sizes >> wanted
+        return wanted + (fitting & -fitting).bit_length() - 1 if fitting else None
+
+    def _show(self, at: int) -> None:
+        free = self.free[at]
+        if free and self.bins[at]:
+            self._rooms.setdefault(free, {})[at] = None
+            self._room_sizes |= 1 << free
+            for i in self.bins[at]:
+                self._places.setdefault(free + self.size[i], {})[i] = at
+                self._place_sizes |= 1 << free + self.size[i]
+
+    def _hide(self, at: int) -> None:
+        free = self.free[at]
+        if free and self.bins[at]:
+            del self._rooms[free][at]
+            if not self._rooms[free]:
+                self._room_sizes &= ~(1 << free)
+            for i in self.bins[at]:
+                held = free + self.size[i]
+                del self._places[held][i]
+                if not self._places[held]:
+                    self._place_sizes &= ~(1 << held)
+
+    def _offers(self, giver: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        own = self.bins[giver]
+        for i in own:
+            yield self.size[i], (i,)
+        for n, i in enumerate(own):
+            for j in own[:n]:
+                if self.size[i] + self.size[j] <= self.capacity:
+                    yield self.size[i] + self.size[j], (i, j)
+
+    def best_step(self, giver: int) -> tuple[int, tuple[int, ...], int | None] | None:
+        """(taker, what it gets, what it gives back) of the step that leaves the taker the least room, and moves most at that.
+
+        The taker is at least as full as the giver, so the sum of squares rises.
+        """
+        best, found = None, None
+        for total, out in self._offers(giver):
+            room = self._least(self._room_sizes, total) if len(out) == 1 else None
+            if room is not None and room <= self.free[giver] and (best is None or (room - total, -total) < best):
+                taker = next((t for t in self._rooms[room] if t != giver), None)
+                if taker is not None:
+                    best, found = (room - total, -total), (taker, out, None)
+            held = self._least(self._place_sizes, total)
+            while held is not None and (best is None or held - total <= best[0]):
+                step = next(((held - total, self.size[back] - total, taker, back) for back, taker in self._places[held].items()
+                             if self.size[back] < total and taker != giver and self.free[taker] <= self.free[giver]), None)
+                if step is not None:
+                    if best is None or step[:2] < best:
+                        best, found = step[:2], (step[2], out, step[3])
+                    break
+                held = self._least(self._place_sizes, held + 1)
+        return found
+
+    def apply(self, giver: int, taker: int, out: tuple[int, ...], back: int | None) -> None:
+        self._hide(giver)
+        self._hide(taker)
+        for i in out:
+            self.bins[giver].remove(i)
+            self.bins[taker].append(i)
+        gain = sum(self.size[i] for i in out)
+        if back is not None:
+            self.bins[taker].remove(back)
+            self.bins[giver].append(back)
+            gain -= self.size[back]
+        self.free[giver] += gain
+        self.free[taker] -= gain
+        self._show(giver)
+        self._show(taker)
+        self.steps["move" if back is None else "two" if len(out) == 2 else "one"] += 1
+
+    def run(self) -> list[list[int]]:
+        """The bins that are left when every underfull bin has been a giver in turn and none had a step."""
+        helped = True
+        while helped:
+            helped, tried = False, set()
+            while (giver := self._emptiest(tried)) is not None:
+                tried.add(giver)
+                while self.bins[giver] and (step := self.best_step(giver)):
+                    self.apply(giver, *step)
+                    helped = True
+                self.steps["emptied"] += not self.bins[giver]
+        return [b for b in self.bins if b]
+
+    def _emptiest(self, besides: set[int]) -> int | None:
+        sizes = self._room_sizes
+        while sizes:
+            free = sizes.bit_length() - 1
+            found = next((b for b in self._rooms[free] if b not in besides), None)
+            if found is not None:
+                return found
+            sizes &= ~(1 << free)
         return None
-    back = [] if j is None else [j]
-    if not two:
-        return gain, [next(i for i in giver if size[i] == given)], back
-    seen: dict[int, int] = {}
-    for i in giver:
-        if given - size[i] in seen:
-            return gain, [i, seen[given - size[i]]], back
-        seen[size[i]] = i
-    raise AssertionError("a sum without its parts")
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int = SHARD, text: str = "text",

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from flowgauge.llm import packing
+from flowgauge.llm import packing, support
 from tests.llm.helpers import documents, prose
 
 PATH = packing.public_tokenizer("word_bpe_49k.json")
@@ -19,7 +19,7 @@ def tokenizer():
 
 
 TEXTS = ["", " \n\t", "Hello, world. It's 12-34!", "a<|endoftext|>b", "<|ENDOFTEXT|> x", "don't I'LL we've 's", "é É́", "x\x1cy\x85z",
-         "q r s", "İſK", "çé,à;ü! ß.", "́abc ...", "a.b.c $$$ %%", "日本語 text. 🙂🙂", "Σας ΟΔΟΣ", prose(3, 500), "w" * 3000]
+         "q r s", "İſK", "çé,à;ü! ß.", "́abc ...", "a.b.c $$$ %%", "a÷b c÷, ×d", "日本語 text. 🙂🙂", "Σας ΟΔΟΣ", prose(3, 500), "w" * 3000]
 
 
 def test_ids_are_those_of_whole_texts(tokenizer):
@@ -56,8 +56,15 @@ def test_bins_hold_everything_and_few_are_used(seed):
     assert len(bins) <= 11 / 9 * -(-int(lengths.sum()) // 100) + len(lengths) / 8 + 1
 
 
+def started(sizes, bins, capacity):
+    search = packing.SwapSearch(sizes, capacity)
+    for held in bins:
+        search.add(held)
+    return search
+
+
 def start(sizes, bins, capacity):
-    return packing._swap_search([list(b) for b in bins], [capacity - sum(sizes[i] for i in b) for b in bins], sizes, capacity)
+    return started(sizes, bins, capacity).run()
 
 
 def test_moves_empty_bins():
@@ -69,8 +76,43 @@ def test_one_for_one_and_two_for_one_exchanges_empty_bins():
     sizes = [6, 3, 5, 4, 2]
     found = start(sizes, [[0, 1], [2, 3], [4]], 10)
     assert len(found) == 2 and all(sum(sizes[i] for i in b) <= 10 for b in found)
-    gain, out, back = packing._best_step([0, 1], [2], 2, [3, 3, 4])  # both threes for the four
-    assert (gain, sorted(out), back) == (2, [0, 1], [2])
+    taker, out, back = started([3, 3, 4, 5], [[0, 1], [2, 3]], 11).best_step(0)  # both threes for the four
+    assert (taker, sorted(out), back) == (1, [0, 1], 2)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_every_step_raises_the_sum_of_squares(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 60) for _ in range(150)]
+    search = packing.SwapSearch(sizes, 100)
+    for i in range(len(sizes)):
+        search.place(i)
+    before, apply = len(search.bins), search.apply
+
+    def checked(giver, taker, out, back):
+        old = search.free[giver], search.free[taker]
+        apply(giver, taker, out, back)
+        assert min(search.free[giver], search.free[taker]) >= 0 and search.free[giver] > old[0] >= old[1] > search.free[taker]
+        assert all(search.free[b] == 100 - sum(sizes[i] for i in held) for b, held in enumerate(search.bins))
+
+    search.apply = checked
+    left = search.run()
+    assert sorted(i for b in left for i in b) == list(range(150)) and len(left) == before - search.steps["emptied"]
+    assert all(search.best_step(b) is None for b, held in enumerate(search.bins) if held and search.free[b])
+
+
+def test_the_search_packs_real_lengths(spark):
+    """Pieces of the test documents as they come: the search empties most of the bins that arrival order wastes."""
+    docs = support.table(spark, "/root/testdata/sf0.01", "documents")
+    lengths = [r.length for r in packing.pieces(docs, PATH).where("length < 2048").orderBy("doc_id", "piece").collect()]
+    search = packing.SwapSearch(lengths, 2048)
+    for i in range(len(lengths)):
+        search.place(i)
+    first, least = len(search.bins), -(-sum(lengths) // 2048)
+    found = search.run()
+    assert all(sum(lengths[i] for i in b) <= 2048 for b in found) and sum(map(len, found)) == len(lengths)
+    assert min(search.steps["one"], search.steps["two"], search.steps["move"]) > 0
+    assert len(found) == first - search.steps["emptied"] <= least * 1.01 and first > least * 1.01
 
 
 def test_packing_round_trip(spark, tokenizer):
