@@ -28,7 +28,7 @@ _TERMS = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <=
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source, term (bytes), n (its occurrences), docs (documents that hold it), summed over parts of the input."""
+    """lang, source, term (bytes), n (its occurrences), docs (documents that hold it), in parts that tasks have counted."""
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                            T.StructField("term", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("docs", T.LongType())])
 
@@ -61,15 +61,15 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
             yield flush()
 
     columns = [F.coalesce(docs[c].cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))]
-    found = support.by_batch(docs.select(*columns), run, schema)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return support.by_batch(docs.select(*columns), run, schema)
 
 
 class Trees:
     """The segment trees of several sources over the terms of one block, hash-consed level by level.
 
     ``levels[0]`` are the different counts; every other level has the (left, right) nodes of the level below that its nodes
-    stand for. ``roots`` has each source's node of the last level.
+    stand for. ``roots`` has each source's node of the last level. ``shared`` tells by level which nodes stand at several
+    places of some tree.
     """
 
     def __init__(self, counts: np.ndarray):
@@ -80,12 +80,13 @@ class Trees:
         full[:, :terms] = counts
         values, nodes = np.unique(full, return_inverse=True)
         nodes = nodes.reshape(sources, width)
-        self.levels: list[np.ndarray] = [values]
+        self.levels, self.shared = [values], [_several(nodes, len(values))]
         while nodes.shape[1] > 1:
             below = len(self.levels[-1])
             pairs, joined = np.unique(nodes[:, ::2] * below + nodes[:, 1::2], return_inverse=True)
             nodes = joined.reshape(sources, -1)
             self.levels.append(np.stack([pairs // below, pairs % below], axis=1))
+            self.shared.append(_several(nodes, len(pairs)))
         self.roots = nodes[:, 0]
 
     def met(self, left: np.ndarray, right: np.ndarray):
@@ -94,18 +95,37 @@ class Trees:
         pair, x, y = np.arange(len(left)), self.roots[left], self.roots[right]
         places = np.ones(len(left), np.int64)
         for depth in range(len(self.levels) - 1, 0, -1):
-            children, below = self.levels[depth], len(self.levels[depth - 1])
+            children = self.levels[depth]
             x, y = children[x].T.ravel(), children[y].T.ravel()
-            code = (np.concatenate([pair, pair]) * below + x) * below + y
-            code, where = np.unique(code, return_inverse=True)
-            summed = np.zeros(len(code), np.int64)
-            np.add.at(summed, where, np.concatenate([places, places]))
-            places, y, x, pair = summed, code % below, code // below % below, code // (below * below)
+            pair, places = np.concatenate([pair, pair]), np.concatenate([places, places])
+            pair, x, y, places = _once(pair, x, y, places, len(self.levels[depth - 1]), self.shared[depth - 1])
         values = self.levels[0]
         real = values[x] >= 0
         return pair[real], values[x[real]], values[y[real]], places[real]
 
 
+def _several(nodes: np.ndarray, count: int) -> np.ndarray:
+    """Which of ``count`` nodes stand at several places of a row."""
+    ordered = np.sort(nodes, axis=1)
+    out = np.zeros(count, bool)
+    out[ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]]] = True
+    return out
+
+
+def _once(pair, x, y, places, count, shared):
+    """Entries with the places of equal ones added up. Only two nodes that both stand at several places can meet twice."""
+    again = shared[x] & shared[y]
+    code = (pair[again] * count + x[again]) * count + y[again]
+    if not len(code):
+        return pair, x, y, places
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    summed, code, rest = np.add.reduceat(places[again][order], first), code[first], ~again
+    return (np.concatenate([pair[rest], code // (count * count)]), np.concatenate([x[rest], code // count % count]),
+            np.concatenate([y[rest], code % count]), np.concatenate([places[rest], summed]))
+
+
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """1 + floor(SCALE * (count + ALPHA) / total) without overflow; ``totals`` are occurrences and ALPHA for every term."""
     if len(counts) and int(counts.max()) >= (1 << 62) // SCALE:
@@ -118,81 +138,76 @@ def prices(trees: Trees, totals: np.ndarray, left: np.ndarray, right: np.ndarray
     pair, counts, others, places = trees.met(left, right)
     p, q = shares(counts, totals[left][pair]), shares(others, totals[right][pair])
     square = (p - q) * (p - q)
-    out = np.zeros((2, len(left)), np.int64)
-    np.add.at(out[0], pair, square // q * places)
-    np.add.at(out[1], pair, square // p * places)
-    return out[0], out[1]
+    order = np.argsort(pair, kind="stable")
+    first = np.searchsorted(pair[order], np.arange(len(left)))
+    there, back = (np.add.reduceat((square // other * places)[order], first) for other in (q, p))
+    return there, back
 
 
-def _block_prices(table):
+def _block_prices(leaves, groups):
     """One block and one or two tiles of a language: the prices of all pairs of sources between them (or within the one)."""
     import pyarrow as pa
 
-    rows = table.to_pylist()
-    sources, totals, tiles, size = [], [], [], rows[0]["terms"]
-    for row in rows:
-        for group in row["groups"]:
-            sources.append(group["source"])
-            totals.append(group["total"])
-            tiles.append(row["tile"])
-    place = {(tile, source): i for i, (tile, source) in enumerate(zip(tiles, sources, strict=True))}
-    counts = np.zeros((len(sources), size), np.int64)
-    for row in rows:
-        for leaf in row["leaves"] or ():
-            own = place[row["tile"], leaf["source"]]
-            counts[own, np.array([x["at"] for x in leaf["counts"]])] = [x["n"] for x in leaf["counts"]]
+    facts = groups.to_pydict()
+    sources, totals, tiles = facts["source"], np.array(facts["total"], np.int64), np.array(facts["tile"])
+    size, place = facts["terms"][0], {source: i for i, source in enumerate(sources)}
     one, two = np.triu_indices(len(sources), 1)
-    if rows[0]["tile_a"] != rows[0]["tile_b"]:
-        across = np.array(tiles)[one] != np.array(tiles)[two]
+    if facts["tile_a"][0] != facts["tile_b"][0]:
+        across = tiles[one] != tiles[two]
         one, two = one[across], two[across]
-    found = [np.zeros(0, np.int64)] * 4
-    if size:
-        trees, totals = Trees(counts), np.array(totals)
-        step = max(1, PAIRS // size)
-        parts = []
-        for first in range(0, len(one), step):
-            a, b = one[first : first + step], two[first : first + step]
-            there, back = prices(trees, totals, a, b)
-            parts += [(a, b, there), (b, a, back)]
-        found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-    else:
-        found = [np.concatenate([one, two]), np.concatenate([two, one]), np.zeros(2 * len(one), np.int64)]
-    names = np.array(sources, object)
+    there = back = np.zeros(len(one), np.int64)
+    if size and len(one):
+        counts = np.zeros((len(sources), size), np.int64)
+        # terms that no source here has are the places that nothing is put into
+        owner, term = (leaves[c].combine_chunks().dictionary_encode() for c in ("source", "term"))
+        rows = np.array([place[x] for x in owner.dictionary.to_pylist()], np.int64)[owner.indices.to_numpy()]
+        counts[rows, term.indices.to_numpy()] = leaves["n"].to_numpy()
+        trees, step = Trees(counts), max(1, PAIRS // size)
+        parts = [prices(trees, totals, one[i : i + step], two[i : i + step]) for i in range(0, len(one), step)]
+        there, back = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names = pa.array(sources, pa.string())
     return pa.table({
-        "lang": pa.array([rows[0]["lang"]] * len(found[0]), pa.string()),
-        "source": pa.array(names[found[0]] if len(found[0]) else [], pa.string()),
-        "item": pa.array(names[found[1]] if len(found[1]) else [], pa.string()),
-        "value": pa.array(found[2], pa.int64()),
-    })
-
-
-def _terms(counts: DataFrame) -> DataFrame:
-    """The kept terms: lang, term, total (occurrences in the language), block, at (place in the block)."""
-    known = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= DOCUMENTS)
-    known = known.select("lang", "term", "total", F.floor(F.log2("total")).alias("class"))
-    known = support.stored(known.withColumn("kind", F.concat_ws("\0", "lang", "class")), "divergence-known")
-    sizes = support.stored(known.groupBy("kind").agg(F.count(F.lit(1)).alias("size")), "divergence-classes")
-    sized = support.with_group_facts(known, "kind", sizes, "size", known.count())
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = sized.withColumn("block", F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("term"), blocks))
-    at = F.row_number().over(Window.partitionBy("lang", "block").orderBy(F.desc("total"), "term")) - 1
-    return support.stored(dealt.select("lang", "term", "total", "block", at.alias("at")), "divergence-terms")
-
-
-def _pair_values(leaves: DataFrame, terms: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
+        "lang": pa.array([facts["lang"][0]] * (2 * len(one)), pa.string()),
+        "source": names.take(pa.array(np.concatenate([one, two]))), "item": names.take(pa.array(np.concatenate([two, one]))),
+        "value": pa.array(np.concatenate([there, back]))})
+
+
+def _leaves(counts: DataFrame) -> DataFrame:
+    """lang, term, source, n, total (of the language) and once (true for one row of each term), for the kept terms.
+
+    One exchange by language and term serves the sums by source, the totals and the number of documents.
+    """
+    summed = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    known = summed.select("*", F.sum("n").over(term).alias("total"), F.sum("docs").over(term).alias("held"),
+                          (F.row_number().over(term.orderBy("source")) == 1).alias("once"))
+    return support.stored(known.where(F.col("held") >= DOCUMENTS).drop("docs", "held"), "divergence-leaves")
+
+
+def _pair_values(leaves: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
     """lang, source, item, value for every two sources of a language."""
-    leaf = F.collect_list(F.struct("at", "n")).alias("counts")
-    own = leaves.groupBy("lang", "block", "source").agg(leaf).join(groups.select("lang", "source", "tile"), ["lang", "source"])
-    held = own.groupBy("lang", "block", "tile").agg(F.collect_list(F.struct("source", "counts")).alias("leaves"))
-    tiles = groups.groupBy("lang", "tile").agg(F.collect_list(F.struct("source", "total")).alias("groups"))
-    blocks = terms.groupBy("lang", "block").agg(F.count(F.lit(1)).cast("int").alias("terms"))
+    kind = F.concat_ws("\0", "lang", "class")
+    classed = leaves.withColumn("class", F.floor(F.log2("total"))).withColumn("kind", kind)
+    sizes = classed.where("once").groupBy("lang", "class", "kind").agg(F.count(F.lit(1)).alias("size"))
+    sizes = support.stored(sizes.join(langs.select("lang", "tiles"), "lang"), "divergence-classes")
+    count = F.ceil(F.col("size") / BLOCK)
+    dealt = support.with_few_facts(classed, "kind", sizes.select("kind", "size", "tiles"), "size").select(
+        "lang", (F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("term"), count)).alias("block"), "source", "term", "n", "once",
+        F.pmod(F.xxhash64("source"), "tiles").alias("tile"), "tiles")
+    dealt = support.stored(dealt, "divergence-blocks")
+
+    def faced(rows: DataFrame) -> DataFrame:
+        """Every row once for each tile that its own meets."""
+        each = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        return each.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")}).drop("other", "tiles")
+
+    blocks = dealt.where("once").groupBy("lang", "block").agg(F.count(F.lit(1)).cast("int").alias("terms"))
     bare = langs.where("terms = 0").select("lang", F.lit(-1).cast("long").alias("block"), F.lit(0).alias("terms"))
-    grid = blocks.union(bare).join(tiles, "lang").join(langs.select("lang", "tiles"), "lang").join(held, ["lang", "block", "tile"], "left")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
-    faced = grid.select("lang", "block", "tile", "terms", "groups", "leaves", other).select(
-        "*", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"))
-    support.ship(terms.sparkSession)
-    found = faced.groupBy("lang", "block", "tile_a", "tile_b").applyInArrow(
+    grid = blocks.union(bare).join(groups.select("lang", "source", "total", "tile", "tiles"), "lang")
+    grid = support.stored(grid, "divergence-grid")
+    key = ["lang", "block", "tile_a", "tile_b"]
+    support.ship(leaves.sparkSession)
+    found = faced(dealt.drop("once")).groupBy(*key).cogroup(faced(grid).groupBy(*key)).applyInArrow(
         _block_prices, "lang string, source string, item string, value long")
     return found.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
@@ -204,9 +219,10 @@ def _term_values(leaves: DataFrame, groups: DataFrame) -> DataFrame:
         return F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", "source")
 
     facts = groups.where("size > 0").select(key().alias("group"), F.col("total").alias("own"), "whole", "size")
-    total = leaves.count()
-    known = support.with_group_facts(leaves.select("lang", "source", "term", "n", "total", key().alias("group")), "group", facts, "size", total)
-    share = f"1 + (cast({{}} + {ALPHA} as decimal(25,0)) * {SCALE}) div cast({{}} as decimal(25,0))"
+    known = support.with_few_facts(leaves.select("lang", "source", "term", "n", "total", key().alias("group")), "group", facts, "size")
+    # counts beyond what a long holds SCALE times over are divided as decimals
+    share = (f"1 + if({{0}} < {(1 << 62) // SCALE}L, ({SCALE}L * ({{0}} + {ALPHA})) div {{1}},"
+             f" (cast({{0}} + {ALPHA} as decimal(25,0)) * {SCALE}) div cast({{1}} as decimal(25,0)))")
     known = known.withColumn("p", F.expr(share.format("n", "own"))).withColumn("q", F.expr(share.format("total", "whole"))).where("p > q")
     return known.select("lang", "source", F.col("term").cast("string").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
 
@@ -220,19 +236,17 @@ def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     language without kept terms has pairs of value 0. Ties go to the item that is smaller in UTF-8. Other columns are not
     read. No rows give no rows.
     """
-    counts = support.stored(term_counts(docs, text, lang, source), "divergence-counts")
-    terms = _terms(counts)
-    leaves = support.stored(counts.drop("docs").join(terms, ["lang", "term"]), "divergence-leaves")
+    leaves = _leaves(term_counts(docs, text, lang, source))
     named = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"))])
     sums = leaves.groupBy("lang", "source").agg(F.sum("n").alias("own"), F.count(F.lit(1)).alias("size"))
     groups = support.stored(named.distinct().join(sums, ["lang", "source"], "left"), "divergence-groups")
-    kept = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("whole"))
+    kept = leaves.where("once").groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("whole"))
     langs = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).join(kept, "lang", "left")
     langs = support.stored(langs.na.fill(0, ["terms", "whole"]), "divergence-langs")
     smooth = ALPHA * F.col("terms")
     groups = groups.na.fill(0, ["own", "size"]).join(langs, "lang").select(
         "lang", "source", "size", (F.col("own") + smooth).alias("total"), (F.col("whole") + smooth).alias("whole"),
-        F.pmod(F.xxhash64("source"), "tiles").alias("tile"))
+        F.pmod(F.xxhash64("source"), "tiles").alias("tile"), "tiles")
     groups = support.stored(groups, "divergence-totals")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
@@ -240,7 +254,7 @@ def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
     top = ranked(_term_values(leaves, groups), "term").where(F.col("rank") <= ranks)
-    return ranked(_pair_values(leaves, terms, groups, langs), "pair").unionByName(top)
+    return ranked(_pair_values(leaves, groups, langs), "pair").unionByName(top)
 
 
 def _twin() -> str:

@@ -126,3 +126,10 @@ def with_group_facts(rows: DataFrame, key: str, facts: DataFrame, size: str, tot
     joined = known.join(cool, F.col("_join_key") == F.col("_cool_key"), "left")
     both = F.coalesce(F.col("_hot"), F.col("_cool"))
     return joined.select(*[F.col(c) for c in rows.columns], *[both[c].alias(c) for c in found])
+
+
+def with_few_facts(rows: DataFrame, key: str, facts: DataFrame, size: str) -> DataFrame:
+    """As ``with_group_facts``, for ``facts`` that are few as a rule: up to BROADCAST_IDS / 10 of them go to all tasks."""
+    if facts.count() <= BROADCAST_IDS // 10:
+        return rows.join(F.broadcast(facts.drop(size) if size in rows.columns else facts), key, "left")
+    return with_group_facts(rows, key, facts, size, rows.count())
