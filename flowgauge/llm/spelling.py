@@ -23,8 +23,8 @@ from flowgauge.llm import support
 LENGTH, OCCURRENCES, FACTOR = 6, 5, 5
 #: Runs whose checksum this divides lose a code point.
 DELETIONS = 199
-#: Different words that a task counts before it passes them on.
-HELD = 200_000
+#: Different words that a task counts before it passes them on, and words whose keys one task makes.
+HELD, WORDS = 200_000, 1 << 14
 RUN = "[A-Za-zÀ-ÿ]+"
 
 
@@ -148,7 +148,8 @@ def _keys(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
                     [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.string(), pa.int32(), pa.bool_()))],
                     names=schema.names)
 
-    return support.by_batch(words.select("word"), run, schema)
+    parts = -(-words.count() // WORDS) or 1
+    return support.by_batch(words.select("word").repartition(parts, "word"), run, schema)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
