@@ -296,22 +296,27 @@ def _judged(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``marked`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``marked`` keeps, with all their columns, whatever they are called.
+
+    What ``marked`` says of nulls, empty, long and repeated texts holds here too; no rows give no rows.
+    """
+    free = "_" * max(map(len, docs.columns))  # longer than every name there is
+    gone, held, own, key = (f"{free}_{name}" for name in ("gone", "held", "own", "key"))
     judged = support.stored(_judged(docs, text, doc_id).select("doc_id", "key", "kept"), "near-judged")
-    drop = support.stored(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("key").alias("_key")).distinct(), "near-drop")
-    kept = support.chosen(judged.where("kept"), "doc_id", drop.select("_drop"))
-    both = support.stored(kept.select(F.col("doc_id").alias("_both")).distinct(), "near-both")  # ids of a kept and a dropped text
-    clear = support.stored(drop.select("_drop").distinct().join(both, F.col("_drop") == F.col("_both"), "left_anti"), "near-clear")
+    drop = support.stored(judged.where(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("key").alias(key)).distinct(), "near-drop")
+    kept = support.chosen(judged.where("kept"), "doc_id", drop.select(gone))
+    both = support.stored(kept.select(F.col("doc_id").alias(held)).distinct(), "near-both")  # ids of a kept and a dropped text
+    clear = support.stored(drop.select(gone).distinct().join(both, F.col(gone) == F.col(held), "left_anti"), "near-clear")
 
     def named(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= support.BROADCAST_IDS else ids
 
-    rest = docs.join(named(clear), docs[doc_id] == F.col("_drop"), "left_anti")
+    rest = docs.join(named(clear), docs[doc_id] == F.col(gone), "left_anti")
     if both.isEmpty():
         return rest
-    single = rest.join(named(both), rest[doc_id] == F.col("_both"), "left_anti")
-    several = rest.join(named(both), rest[doc_id] == F.col("_both"), "left_semi")
-    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField("_own", T.BinaryType())])
+    single = rest.join(named(both), rest[doc_id] == F.col(held), "left_anti")
+    several = rest.join(named(both), rest[doc_id] == F.col(held), "left_semi")
+    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField(own, T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
@@ -322,10 +327,12 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
 
     keyed = support.by_batch(several, run, schema)
-    keyed = keyed.join(drop, (keyed[doc_id] == F.col("_drop")) & (F.col("_own") == F.col("_key")), "left_anti")
-    return single.unionByName(keyed.drop("_own"))
+    keyed = keyed.join(drop, (keyed[doc_id] == F.col(gone)) & (F.col(own) == F.col(key)), "left_anti")
+    return single.unionByName(keyed.drop(own))
 
 
 @support.query("op9_near_dedup")
 def op9(spark, sf_dir):
-    return marked(support.table(spark, sf_dir, "documents"))
+    found = marked(support.table(spark, sf_dir, "documents"))
+    # of several texts with the smallest id, ``marked`` keeps one; the query keeps that id
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from flowgauge.llm import near_dedup, shingles
+from flowgauge.llm import near_dedup, shingles, support
 from tests.llm.helpers import documents, prose, shingle_set
 
 
@@ -161,3 +161,20 @@ def test_texts_of_one_id_are_judged_each(spark):
     assert kept.columns == docs.columns
     left = sorted((r.doc_id, r.text) for r in kept.collect())
     assert [x for x in left if x[0] != 7] == [(1, near), (5, other), (8, "")] and sum(i == 7 for i, _ in left) == 1
+
+
+def test_survivors_of_columns_with_any_name(spark):
+    near, other = prose(1, 80), prose(2, 80)
+    docs = documents(spark, [(1, near), (5, near + " tail"), (5, other)])
+    for name in ("_drop", "_both", "_own", "_key", "_gone", "_held", "____gone"):
+        docs = docs.selectExpr("*", f"'x' AS `{name}`")
+    kept = near_dedup.survivors(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r._drop) for r in kept.collect()) == [(1, near, "x"), (5, other, "x")]
+
+
+def test_the_query_keeps_the_id_of_its_component(spark):
+    rows = [(1, prose(1, 80)), (1, prose(1, 80) + " tail"), (2, prose(1, 80) + " end"), (None, prose(3, 60))]
+    documents(spark, rows).write.parquet(path := support.scratch_dir(spark, "near-test") + "/documents.parquet")
+    got = support.QUERIES["op9_near_dedup"](spark, path.rsplit("/", 1)[0]).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False)]
