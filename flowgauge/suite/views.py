@@ -16,6 +16,9 @@ from flowgauge.operators.runs import run_summary
 RUNS_NOW = "2001-12-31 00:00:00"
 FACTS_NOW = "2024-01-31 00:00:00"
 
+# Fixed value: rows of a table that one task gets where they are dealt out by a key.
+TASK_ROWS = 100_000
+
 # The schedule texts and column types the derived registry uses.
 SCHEDULES = (
     "@daily", "@hourly", "@weekly", "cron(0 9 ? * MON-FRI *)", "cron(0 2 * * ? *)", "0 3 * * 1", "rate(1 hour)",
@@ -89,9 +92,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table dealt out by ``key`` in tasks of about ``TASK_ROWS`` rows, so what a task holds doesn't grow with the table."""
+        rows = self.table(name)
+        return rows.repartition(max(6, rows.count() // TASK_ROWS + 1), key)
+
     @cached_property
     def tasks_all(self) -> DataFrame:
-        slots = self.table("lineitem").groupBy(F.col("l_orderkey").alias("run_id"), "l_linenumber").agg(
+        slots = self.dealt("lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("run_id"), "l_linenumber").agg(
             F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"),
             F.min("l_quantity").cast("int").alias("q"),
         )

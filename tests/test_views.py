@@ -3,7 +3,10 @@
 import datetime as dt
 import tempfile
 
+from pyspark.sql import functions as F
+
 from flowgauge.operators import audit
+from flowgauge.suite import views as suite_views
 from flowgauge.suite.views import Views
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -26,3 +29,20 @@ def test_an_answer_counts_the_unfinished_rows_of_its_run(spark):
     assert {r.run_id: r.unfinished for r in v.audit_answers.collect()} == {4: 2, 8: 0, 12: 0, 68: 1}
     found = audit.unfounded_ends(v.audit_runs, v.audit_tasks, v.audit_answers).where("violation = 'answered early'")
     assert [r.run_id for r in found.collect()] == [4]  # the last is stopped
+
+
+def held(df):
+    """How many rows each task of ``df`` gives."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+def many(spark, runs=400):
+    orders = [(run, run, dt.datetime(1995, 1 + run % 12, 1), "1-URGENT") for run in range(runs)]
+    lines = [(run, n, 7 * run + n, n, 1.0) for run in range(runs) for n in range(1, 4)]
+    return views(spark, orders=(orders, ORDERS), lineitem=(lines, LINES))
+
+
+def test_a_task_gets_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(suite_views, "TASK_ROWS", 50)
+    tasks = held(many(spark).tasks_all)
+    assert sum(tasks) == 1200 and max(tasks) < 150
