@@ -22,18 +22,24 @@ def events(v):
 
 
 def log_stream(v):
+    """The log in two batches, in the files that the tasks which make it write."""
     folder = jobs.new_folder(v.spark, "row-log")
-    v.row_log.repartition(6).write.parquet(folder)
-    return jobs.read_parquet_stream(v.spark, folder, v.row_log.schema, files_per_batch=3)
+    v.row_log.write.parquet(folder)
+    files = len(v.spark.read.schema(v.row_log.schema).parquet(folder).inputFiles())
+    return jobs.read_parquet_stream(v.spark, folder, v.row_log.schema, files_per_batch=files // 2 + 1)
 
 
 def timely_log_stream(v):
-    """The log as it comes in time: a batch for what was written before the middle of 1995, and one for the rest."""
+    """The log as it comes in time: a batch for what was written before the middle of 1995, and one for the rest.
+
+    A batch is as many files as the first part has, and the second has no more than these.
+    """
     folder = jobs.new_folder(v.spark, "row-log")
     early = F.col("at") < F.lit("1995-06-17").cast("timestamp_ntz")
-    for part in (early, ~early):
-        v.row_log.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return jobs.read_parquet_stream(v.spark, folder, v.row_log.schema, files_per_batch=1)
+    v.row_log.where(early).write.parquet(folder)
+    files = max(1, len(v.spark.read.schema(v.row_log.schema).parquet(folder).inputFiles()))
+    v.row_log.where(~early).coalesce(files).write.mode("append").parquet(folder)
+    return jobs.read_parquet_stream(v.spark, folder, v.row_log.schema, files_per_batch=files)
 
 
 @query("r01_ingest_facts", """

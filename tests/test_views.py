@@ -6,7 +6,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from flowgauge.operators import audit
-from flowgauge.suite import views as suite_views
+from flowgauge.streaming import jobs
+from flowgauge.suite import streams, views as suite_views
 from flowgauge.suite.views import Views
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -46,3 +47,13 @@ def test_a_task_gets_no_more_rows_of_a_larger_table(spark, monkeypatch):
     monkeypatch.setattr(suite_views, "TASK_ROWS", 50)
     tasks = held(many(spark).tasks_all)
     assert sum(tasks) == 1200 and max(tasks) < 150
+
+
+def test_the_log_lies_in_as_many_files_as_tasks_wrote(spark, monkeypatch):
+    monkeypatch.setattr(suite_views, "TASK_ROWS", 50)
+    monkeypatch.setattr(jobs, "read_parquet_stream", lambda spark, folder, schema, name=None, files_per_batch=None: (folder, files_per_batch))
+    v = many(spark)
+    folder, taken = streams.log_stream(v)
+    files = spark.read.parquet(folder)
+    assert files.count() == v.row_log.count()
+    assert len(files.inputFiles()) > 12 and taken < len(files.inputFiles()) <= 2 * taken
