@@ -18,7 +18,7 @@ from flowgauge.session import cut_lineage, scratch_dir
 from flowgauge.sources import facts as fact_source
 from flowgauge.streaming import stateful
 from flowgauge.streaming.fact_index import FactIndex, Reach
-from flowgauge.streaming.tables import DayTable
+from flowgauge.streaming.tables import DayTable, remove
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, schema: T.StructType, name: str | None = None,
@@ -228,25 +228,36 @@ class RunStatuses:
 def current_run_status(spark: SparkSession, log: DataFrame, folder: str, keep: dt.timedelta = dt.timedelta(days=7)) -> RunStatuses:
     """Run statuses kept current from a change log.
 
-    The state of a run holds the newest image of each of its rows; what changes its status is written to the folder of the
-    month it was first seen in. ``keep`` after a run has ended, by the newest time in the log, its state goes. A row older than
-    that whose run has no state can't be judged any more and is reported aside.
+    What is held of a run is the newest image of each of its rows; what changes its status is written to the folder of the
+    month it was first seen in. ``keep`` after a run has ended, by the newest time in the log, its images go. A row older than
+    that whose run has no images can't be judged any more and is reported aside. A batch reads what the batch before it held
+    and writes what it holds itself, by joins and grouping, so a batch that is run again leaves the same.
     """
     tables = RunStatuses(spark, folder, log.schema)
-    told = stateful.run_statuses(log, keep)
+    held = f"{folder}/held"
+    shape = stateful.held_schema(log.schema)
+    marked = T.StructType([*shape.fields, T.StructField("changed", T.BooleanType())])
+    times = BatchTable(spark, f"{folder}/times", T.StructType([T.StructField("at", T.TimestampNTZType())]))
+    spark.createDataFrame([], marked).write.mode("overwrite").parquet(f"{held}/batch_id=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        changed = batch.where("row IS NULL").select("run_id", "status", "version", "first_at")
+        rows = batch.select(*stateful.RUN_ROW).persist()
+        times.write(rows.agg(F.max("at").alias("at")), batch_id)
+        clock = times.before(batch_id).agg(F.max("at")).first()[0]
+        before = spark.read.schema(marked).parquet(f"{held}/batch_id={batch_id - 1}").drop("changed")
+        after, late = stateful.next_statuses(before, rows, clock, keep)
+        after.select(*marked.names).write.mode("overwrite").parquet(f"{held}/batch_id={batch_id}")
+        tables.late.write(late, batch_id)
+        stored = spark.read.schema(marked).parquet(f"{held}/batch_id={batch_id}")
+        changed = stored.where("changed").select("run_id", "status", "version", "first_at").distinct()
         tables.statuses.add(changed, batch_id)
-        tables.late.write(batch.where("row IS NOT NULL").select("row.*"), batch_id)
         days = changed.agg(F.min("first_at").alias("first"), F.max("first_at").alias("last")).first()
         if days["first"] is not None:
             tables.statuses.compact(days["first"], days["last"])
-        batch.unpersist()
+        remove(spark, f"{held}/batch_id={batch_id - 2}")
+        rows.unpersist()
 
-    with stateful.keyed_state(spark):
-        drain(told, step, f"{folder}/checkpoint")
+    drain(log, step, f"{folder}/checkpoint")
     return tables
 
 
