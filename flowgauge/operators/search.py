@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowgauge.functions import text as texts
+from flowgauge.session import cut_lineage
 
 #: So many of a search's grams, the rarest, are intersected; the others are left to the check of the text itself.
 INTERSECTED = 4
+#: So many texts, about, are cut into grams by one task.
+TEXTS_PER_TASK = 10_000
 
 
 def _substrings(value: Column, size: int) -> Column:
@@ -17,10 +20,14 @@ def _substrings(value: Column, size: int) -> Column:
 
 
 def postings(registry: DataFrame, key: str, text: str) -> DataFrame:
-    """gram, key: the texts that hold each run of up to three characters; the empty run has all texts."""
+    """gram, key: the texts that hold each run of up to three characters; the empty run has all texts.
+
+    Texts are dealt out by their key before they are cut, so a task holds the grams of its texts only and no gram is shuffled.
+    """
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_substrings(lower, n) for n in (1, 2, 3)]))
-    return registry.select(F.explode(grams).alias("gram"), F.col(key).alias("key")).distinct()
+    dealt = registry.repartition(registry.count() // TEXTS_PER_TASK + 1, key)
+    return dealt.select(F.explode(grams).alias("gram"), F.col(key).alias("key")).distinct()
 
 
 def asked_grams(searches: DataFrame) -> DataFrame:
@@ -43,8 +50,9 @@ def search(registry: DataFrame, index: DataFrame, searches: DataFrame, key: str,
     sized = asked.join(sizes, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     rarest = Window.partitionBy("search_id").orderBy("texts", "gram")
     chosen = sized.withColumn("n", F.row_number().over(rarest)).where(F.col("n") <= INTERSECTED)
+    chosen = cut_lineage(chosen.select("search_id", "gram"))  # a few rows, and known to be a few where they meet the index
     needed = chosen.groupBy("search_id").agg(F.count("*").alias("needed"))
-    met = chosen.select("search_id", "gram").join(index, "gram").groupBy("search_id", "key").agg(F.count("*").alias("held"))
+    met = chosen.join(index, "gram").groupBy("search_id", "key").agg(F.count("*").alias("held"))
     candidates = met.join(needed, "search_id").where("held = needed").select("search_id", "key")
     read = registry.select(F.col(key).alias("key"), F.col(text).alias("read"))
     verified = candidates.join(read, "key").join(searches.select("search_id", "search"), "search_id")
