@@ -224,14 +224,16 @@ def push_requests(facts: DataFrame, subscriptions: DataFrame, nodes: DataFrame,
     judged = pairs.join(holds, ["consumer", "partition_date", "event_time"], "left").where(
         (F.col("cascade") == "all") | F.col("holds"))
     per_event = (F.col("cascade") == "all") | (F.col("operator") == "OR")
+    starts = judged.groupBy(
+        "consumer", "partition_date", per_event.alias("per_event"), F.when(per_event, F.col("asset_name")).alias("trigger_asset"),
+        F.when(per_event, F.col("event_time")).alias("event")).agg(F.min("event_time").alias("event_time"))  # few, before they get names
     day = F.date_format("partition_date", "yyyy-MM-dd")
-    discriminator = F.when(per_event, F.concat_ws(
-        "|", "asset_name", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))).otherwise("")
-    kind = F.when(per_event, "ev").otherwise("and")
-    named_runs = judged.select(
+    discriminator = F.when(F.col("per_event"), F.concat_ws(
+        "|", "trigger_asset", F.date_format("event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))).otherwise("")
+    kind = F.when(F.col("per_event"), "ev").otherwise("and")
+    named_runs = starts.select(
         text.run_name(F.col("consumer"), day, kind, discriminator).alias("run_name"), "consumer",
-        day.alias("run_date"), kind.alias("kind"), F.when(per_event, F.col("asset_name")).alias("trigger_asset"),
-        "event_time", "source_dag")
+        day.alias("run_date"), kind.alias("kind"), "trigger_asset", "event_time")
     return named_runs.groupBy("run_name", "consumer", "run_date", "kind", "trigger_asset").agg(
         F.min("event_time").alias("first_event_time"))
 
