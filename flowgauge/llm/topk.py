@@ -3,8 +3,9 @@
 Vectors become integers, so scores are exact. A shard is a bounded set of vectors in one ball tree: every node has a centre
 and a radius, and no vector in it can score more with a query than <query, centre> + |query| * radius. Queries come in
 blocks. A block meets every shard; a task has a run of shards for a block and keeps, for each query, the k best scores so
-far. It opens nodes in order of their bound and leaves those below the current k-th score, which it carries on from shard
-to shard. Before that, one round over a single shard for each block has found a k-th score that all tasks start from.
+far. It opens a node for the queries whose bound reaches their current k-th score, which they carry on from shard to shard.
+Before that, one round over a single shard for each block has found a k-th score that all tasks start from. Trees and blocks
+are shuffled to their tasks, never broadcast: their files are far smaller than they are.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from flowgauge.llm import support
 
 K = 5
 #: Vectors of a shard, vectors of a leaf, queries of a block, and shards that one task searches for a block.
-SHARD, LEAF, BLOCK, RUN = 4096, 64, 256, 16
+SHARD, LEAF, BLOCK, RUN = 4096, 64, 1024, 16
 #: Sums below this are exact in doubles.
 _EXACT = 1 << 52
+#: A score that no k-th score lies below.
+_NONE = np.iinfo(np.int64).min
 
 
 def as_integers(vector: Column, scale: int = 256) -> Column:
@@ -72,41 +75,62 @@ class BallTree:
 
     def search(self, query: np.ndarray, own: int | None, k: int, best: list[tuple[int, int]], floor: int | None) -> None:
         """Merge into ``best`` (a heap of (score, -id)) what the tree has; ``floor`` is a score that the k-th reaches."""
-        length = float(np.sqrt((query.astype(float) ** 2).sum()))
-        bounds = self.centre @ query.astype(float) + length * self.radius
-        bounds += 1e-9 * (np.abs(bounds) + length * (self.radius + np.abs(self.centre).max(initial=0.0) + 1)) + 0.5
-        waiting = [(-bounds[0], 0)]
-        while waiting:
-            bound, node = heapq.heappop(waiting)
-            least = best[0][0] if len(best) == k else floor
-            if least is not None and -bound < least:
-                return
-            if self.left[node] >= 0:
-                for child in (self.left[node], self.right[node]):
-                    heapq.heappush(waiting, (-bounds[child], int(child)))
-                continue
+        self.search_all(query[None, :], [own], k, [best], [floor])
+
+    def search_all(self, queries: np.ndarray, owns: list, k: int, best: list[list[tuple[int, int]]], floors: list) -> None:
+        """As ``search`` for many queries: a node is opened once, for those whose bound there reaches their k-th score so far.
+
+        A query without such a score begins in the leaf with its highest bound, so that it has one for the others.
+        """
+        points = queries.astype(float)
+        lengths = np.sqrt((points**2).sum(axis=1))
+        bounds = self.centre @ points.T + self.radius[:, None] * lengths
+        bounds += 1e-9 * (np.abs(bounds) + lengths * (self.radius[:, None] + np.abs(self.centre).max(initial=0.0) + 1)) + 0.5
+        least = np.full(len(queries), _NONE)
+        for i, (heap, floor) in enumerate(zip(best, floors, strict=True)):
+            if len(heap) == k or floor is not None:
+                least[i] = heap[0][0] if len(heap) == k else floor
+        leaves = np.flatnonzero(self.left < 0)
+        begun = np.where(least == _NONE, leaves[bounds[leaves].argmax(axis=0)], -1)
+
+        def read(node, asking):
             start, end = self.start[node], self.end[node]
-            scores = products(self.vectors[start:end], query)
-            if least is not None:
-                at = np.flatnonzero(scores >= least)
-                scores, ids = scores[at], self.ids[start:end][at]
-            else:
-                ids = self.ids[start:end]
-            for score, vec_id in zip(scores.tolist(), ids.tolist(), strict=True):
-                if vec_id == own:
+            scores = products(self.vectors[start:end], queries[asking]).T
+            who, row = np.nonzero(scores >= least[asking][:, None])
+            for i, score, vec_id in zip(asking[who].tolist(), scores[who, row].tolist(), self.ids[start:end][row].tolist(), strict=True):
+                heap = best[i]
+                if vec_id == owns[i]:
+                    continue
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -vec_id))
+                elif (score, -vec_id) > heap[0]:
+                    heapq.heapreplace(heap, (score, -vec_id))
+                else:
                     continue
-                if len(best) < k:
-                    heapq.heappush(best, (score, -vec_id))
-                elif (score, -vec_id) > best[0]:
-                    heapq.heapreplace(best, (score, -vec_id))
+                if len(heap) == k:
+                    least[i] = max(least[i], heap[0][0])
+
+        for node in np.unique(begun[begun >= 0]).tolist():
+            read(node, np.flatnonzero(begun == node))
+        waiting = [(0, np.arange(len(queries)))]
+        while waiting:
+            node, asking = waiting.pop()
+            asking = asking[(bounds[node, asking] >= least[asking]) & (begun[asking] != node)]
+            if not len(asking):
+                continue
+            if self.left[node] < 0:
+                read(node, asking)
+                continue
+            children = (int(self.left[node]), int(self.right[node]))
+            waiting += [(child, asking) for child in sorted(children, key=lambda c: bounds[c, asking].sum())]
 
 
 def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products as 64-bit integers, by doubles where their sums cannot be rounded."""
-    top = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query)
+    """Exact inner products as 64-bit integers, by doubles where their sums cannot be rounded; ``query`` may be several, in rows."""
+    top = float(np.abs(vectors.astype(float)).max(initial=0)) * float(np.abs(query.astype(float)).max(initial=0)) * query.shape[-1]
     if top < _EXACT:
-        return (vectors.astype(float) @ query.astype(float)).astype(np.int64)
-    return vectors @ query
+        return (vectors.astype(float) @ query.astype(float).T).astype(np.int64)
+    return vectors.astype(np.int64) @ query.astype(np.int64).T
 
 
 def searched(vectors: DataFrame, is_query: Column, k: int = K, embedding: str = "embedding", vec_id: str = "vec_id",
@@ -129,14 +153,14 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, embedding: str =
     def pack_tree(key, table):
         import pyarrow as pa
 
-        tree = BallTree.build(table["id"].to_numpy(), _matrix(table["vector"], key[0].as_py()))
+        tree = BallTree.build(table["id"].to_numpy(), _narrow(_matrix(table["vector"], key[0].as_py())))
         return pa.table({"size": [key[0].as_py()], "shard": [key[1].as_py()], "tree": [_dumped(tree)]})
 
     def pack_block(key, table):
         import pyarrow as pa
 
         order = np.argsort(table["id"].to_numpy(), kind="stable")
-        block = (table["id"].to_numpy()[order], _matrix(table["vector"], key[0].as_py())[order])
+        block = (table["id"].to_numpy()[order], _narrow(_matrix(table["vector"], key[0].as_py())[order]))
         return pa.table({"size": [key[0].as_py()], "block": [key[1].as_py()], "queries": [_dumped(block)]})
 
     trees = rows.select("size", place.alias("shard"), "id", "vector").groupBy("size", "shard").applyInArrow(
@@ -146,7 +170,7 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, embedding: str =
     packed = support.stored(packed.groupBy("size", "block").applyInArrow(pack_block, "size long, block long, queries binary"), "topk-queries")
 
     one = T.StructType([T.StructField("size", T.LongType()), T.StructField("block", T.LongType()), T.StructField("floors", T.BinaryType())])
-    home = packed.withColumn("shard", F.col("block") % shards).join(trees, ["size", "shard"], "left")
+    home = packed.withColumn("shard", F.col("block") % shards).join(trees.hint("merge"), ["size", "shard"], "left")
 
     def first_round(batches):
         import pyarrow as pa
@@ -156,27 +180,27 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, embedding: str =
                 ids, points = _loaded(queries)
                 floors: list[int | None] = [None] * len(ids)
                 if tree.is_valid:
-                    known = _loaded(tree)
-                    for i, (own, query) in enumerate(zip(ids.tolist(), points, strict=True)):
-                        best: list[tuple[int, int]] = []
-                        known.search(query, own, k, best, None)
-                        floors[i] = best[0][0] if len(best) == k else None
+                    best: list[list[tuple[int, int]]] = [[] for _ in floors]
+                    _loaded(tree).search_all(points, ids.tolist(), k, best, floors)
+                    floors = [heap[0][0] if len(heap) == k else None for heap in best]
                 yield pa.RecordBatch.from_arrays([pa.array([size.as_py()], pa.int64()), pa.array([block.as_py()], pa.int64()),
                                                   pa.array([_dumped(floors)], pa.binary())], names=one.names)
 
     floors = home.select("size", "block", "queries", "tree").mapInArrow(first_round, one)
-    known = support.stored(packed.join(floors, ["size", "block"]), "topk-floors")
-
-    # every block of queries against every shard of its length, in blocks: this is the search, not a join of all rows
-    to_search = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(trees, ["size", "shard"])
-    runs = to_search.withColumn("run", F.floor(F.col("shard") / RUN))
-    runs = runs.repartition(max(1, blocks * -(-shards // RUN)), "size", "block", "run").sortWithinPartitions("size", "block", "shard")
+    known = support.stored(packed.join(floors.hint("merge"), ["size", "block"]), "topk-floors")
+
+    # every block of queries against every shard of its length: a task gets a block once and then the trees of its run
+    of_runs = F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // RUN).cast("long"))
+    of_blocks = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    to_search = known.select("size", "block", F.explode(of_runs).alias("run"), F.lit(-1).cast("long").alias("shard"), "queries", "floors").unionByName(
+        trees.select("size", F.explode(of_blocks).alias("block"), F.floor(F.col("shard") / RUN).alias("run"), "shard", "tree"), allowMissingColumns=True)
+    runs = to_search.repartition(max(1, blocks * -(-shards // RUN)), "size", "block", "run").sortWithinPartitions("size", "block", "run", "shard")
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
     def search_run(batches):
         import pyarrow as pa
 
-        at, heaps, ids = None, [], []
+        at, heaps, ids, points, least = None, [], [], None, []
 
         def ended():
             found = [(q, -v, s) for q, heap in zip(ids, heaps, strict=True) for s, v in heap]
@@ -184,19 +208,18 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, embedding: str =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=result.names)
 
         for batch in batches:
-            for size, block, queries, least, tree in zip(*(batch.column(i) for i in range(5)), strict=True):
-                if (size.as_py(), block.as_py()) != at:
+            for size, block, run, queries, floors, tree in zip(*(batch.column(i) for i in range(6)), strict=True):
+                if queries.is_valid:
                     if at is not None:
                         yield ended()
-                    at, (own, points), floors_ = (size.as_py(), block.as_py()), _loaded(queries), _loaded(least)
+                    at, (own, points), least = (size.as_py(), block.as_py(), run.as_py()), _loaded(queries), _loaded(floors)
                     ids, heaps = own.tolist(), [[] for _ in own]
-                shard_tree = _loaded(tree)
-                for vec, query, heap, floor in zip(ids, points, heaps, floors_, strict=True):
-                    shard_tree.search(query, vec, k, heap, floor)
+                elif (size.as_py(), block.as_py(), run.as_py()) == at:  # else no query has this length
+                    _loaded(tree).search_all(points, ids, k, heaps, least)
         if at is not None:
             yield ended()
 
-    found = runs.select("size", "block", "queries", "floors", "tree").mapInArrow(search_run, result)
+    found = runs.select("size", "block", "run", "queries", "floors", "tree").mapInArrow(search_run, result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -206,6 +229,12 @@ def _matrix(column, size: int) -> np.ndarray:
     return chunked.flatten().to_numpy().reshape(len(chunked), size)
 
 
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The same integers in as few bytes as they need."""
+    top = max(abs(int(matrix.min(initial=0))), abs(int(matrix.max(initial=0))))
+    return matrix.astype(next((kind for kind in (np.int16, np.int32) if top <= np.iinfo(kind).max), np.int64))
+
+
 def _dumped(value) -> bytes:
     import pickle
 

@@ -83,3 +83,24 @@ def test_bounds_leave_nodes_out():
     finally:
         topk.products = plain
     assert 0 < sum(read) < len(vectors) / 3
+
+
+def test_nothing_is_broadcast(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(120)]
+    found = topk.searched(table(spark, rows), F.col("vec_id") % 50 == 0, shard=10)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 5)
+
+
+def test_queries_search_a_tree_together():
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.integers(-4, 5, (300, 4)) + 50 * np.eye(4, dtype=int)[i] for i in range(4)]).astype(np.int16)
+    ids = rng.permutation(len(vectors))
+    tree = topk.BallTree.build(ids, vectors, leaf=16)
+    asking = rng.integers(0, len(vectors), 40)
+    scores = vectors[asking].astype(int) @ vectors.astype(int).T
+    want = [sorted((-s, i) for s, i in zip(row.tolist(), ids.tolist()) if i != ids[q])[:5] for row, q in zip(scores, asking)]
+    floors = [None if n % 3 else -w[-1][0] for n, w in enumerate(want)]
+    best = [[] for _ in asking]
+    tree.search_all(vectors[asking], ids[asking].tolist(), 5, best, floors)
+    assert [sorted((-s, -i) for s, i in heap) for heap in best] == want
