@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 # The longest execution name, the separator of digest parts and the field names of stored outputs.
 MAX_NAME = 80
 _PART_SEPARATOR = "\x1f"
+_DIGEST = 8
 MARKER_FLAG = "_manually_resolved"
 MARKER_FIELDS = {
     "resolution": "_resolution", "operator": "_operator", "reason": "_reason", "marked_run": "_pipeline_execution",
@@ -40,9 +41,18 @@ def _clean(value: Column) -> Column:
 
 def run_name(name: Column, date: Column, kind: Column, discriminator: Column) -> Column:
     """The one name a start of ``name`` for ``date`` gets, so a repeated start is recognised; null if no head is left."""
-    digest = F.substring(F.sha2(F.concat_ws(_PART_SEPARATOR, name, date, kind, discriminator), 256), 1, 8)
-    tail = F.concat(F.lit("-"), _clean(date), F.lit("-"), kind, F.lit("-"), digest)
-    head = F.regexp_replace(F.substring(_clean(name), F.lit(1), F.lit(MAX_NAME) - F.length(tail)), r"-+$", "")
+    return F.concat(run_stem(name, date, kind), run_digest(name, date, kind, discriminator))
+
+
+def run_digest(name: Column, date: Column, kind: Column, discriminator: Column) -> Column:
+    """The end of a run's name, which tells it from others of the same name, date and kind."""
+    return F.substring(F.sha2(F.concat_ws(_PART_SEPARATOR, name, date, kind, discriminator), 256), 1, _DIGEST)
+
+
+def run_stem(name: Column, date: Column, kind: Column) -> Column:
+    """A run's name before its digest; null if no head is left."""
+    tail = F.concat(F.lit("-"), _clean(date), F.lit("-"), kind, F.lit("-"))
+    head = F.regexp_replace(F.substring(_clean(name), F.lit(1), F.lit(MAX_NAME - _DIGEST) - F.length(tail)), r"-+$", "")
     return F.when(head != "", F.concat(head, tail))
 
 

@@ -163,6 +163,38 @@ def within_as_of(probes: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.withColumn("ready", F.coalesce(fresh, F.lit(False)))
 
 
+def stretches(facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The events of each date as stretches in which every event comes at most ``hours`` after the one before.
+
+    ``wanted`` has the hours that are asked for each asset. Events are first grouped by the bucket of that width they lie in,
+    so a hot date shrinks before its buckets are put in order.
+    """
+    width = F.greatest(((F.col("hours") * 3600).cast("decimal(18,6)") * 1_000_000).cast("long"), F.lit(1))
+    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
+    asked = cut_lineage(wanted.select("asset_name", F.col("hours").cast("double").alias("hours")).distinct())
+    timed = facts.where("event_time IS NOT NULL").join(asked, "asset_name")
+    key = ["asset_name", "partition_date", "hours"]
+    buckets = timed.groupBy(*key, (micros - F.pmod(micros, width)).alias("bucket")).agg(
+        F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+    order = Window.partitionBy(*key).orderBy("bucket")
+    opens = F.coalesce(F.lag("last").over(order) < F.col("first") - _hours(F.col("hours")), F.lit(False))
+    return buckets.withColumn("opens", opens).withColumn("stretch", F.count_if("opens").over(order)).groupBy(*key, "stretch").agg(
+        F.min("first").alias("first"), F.max("last").alias("last")).drop("stretch")
+
+
+def within_ready_as_of(probes: DataFrame, firsts: DataFrame, known: DataFrame) -> DataFrame:
+    """As :func:`within_as_of` where only the verdict matters: ``firsts`` are the first facts of each date, and the moments from
+    the first event of a stretch (``known``) to so many hours after its last are those with an event recent enough."""
+    probe = ["asset_name", "target_date", "cutoff"]
+    dated = newest_known_date(probes.select(*probe).distinct(), firsts)
+    asked = probes.select(*probe, "hours").distinct().join(dated.where("partition_date IS NOT NULL"), probe)
+    begun = known.select("asset_name", "partition_date", "hours", F.col("first").alias("event_time"), "last")
+    found = slices.greatest_before(asked, begun, ["asset_name", "partition_date", "hours"], "cutoff", "last", "last")
+    joined = probes.join(found, [*probe, "hours"], "left")
+    fresh = F.col("last") >= F.col("cutoff") - _hours(F.col("hours"))
+    return joined.withColumn("ready", F.coalesce(fresh, F.lit(False)))
+
+
 def fact_spans(facts: DataFrame) -> DataFrame:
     """Islands and gaps of each asset: runs of consecutive dates present, and the runs missing between them."""
     days = facts.select("asset_name", "partition_date").distinct()
