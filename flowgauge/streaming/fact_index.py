@@ -39,6 +39,9 @@ class FactIndex:
     the oldest that can be the newest known one of a fresh asset, so first times are read from there on.
     """
 
+    #: What it reads of facts.
+    columns = _EVENT.names
+
     def __init__(self, spark: SparkSession, path: str):
         self.firsts = DayTable(spark, f"{path}/firsts", _FACT, "partition_date", _first)
         self.events = DayTable(spark, f"{path}/events", _EVENT, "event_time", _distinct)
@@ -49,11 +52,15 @@ class FactIndex:
 
     def recorded(self, since: dt.datetime, until: dt.datetime) -> DataFrame:
         """The facts recorded from ``since`` to ``until``."""
-        return self.events.merge(self.events.read(since, until)).where(
+        return self.events.merge(self._between(since, until))
+
+    def _between(self, since: dt.datetime, until: dt.datetime) -> DataFrame:
+        """As ``recorded``, where a fact may come more than once."""
+        return self.events.read(since, until).where(
             F.col("event_time").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
 
     def known(self, facts: DataFrame, reach: Reach) -> DataFrame:
-        """All that counts when the schedules of consumers of ``facts`` are judged as of their times."""
+        """All that counts when the schedules of consumers of ``facts`` are judged as of their times; some of it repeated."""
         span = facts.agg(
             F.min("event_time").alias("since"), F.max("event_time").alias("until"),
             F.min("partition_date").alias("first"), F.max("partition_date").alias("last")).first()
@@ -63,7 +70,7 @@ class FactIndex:
                      span["first"] - dt.timedelta(days=reach.days - 1))
         if not reach.hours:
             return self.firsts.read(oldest, span["last"])
-        events = self.recorded(span["since"] - dt.timedelta(hours=reach.hours), span["until"]).select(*_FACT.names)
+        events = self._between(span["since"] - dt.timedelta(hours=reach.hours), span["until"]).select(*_FACT.names)
         touched = events.agg(F.min("partition_date")).first()[0]
         return self.firsts.read(min(oldest, touched or oldest), span["last"]).unionByName(events)
 

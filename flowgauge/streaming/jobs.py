@@ -132,13 +132,14 @@ class PushTables:
 
     def emit(self, facts: DataFrame, subscriptions: DataFrame, nodes: DataFrame, depth: int, reach: Reach, batch_id: int) -> None:
         """Store the requests of ``facts`` that are not there yet. Only what these facts concern is read."""
-        known = cut_lineage(self.index.known(facts, reach))
-        asked = conditions.push_requests(facts, subscriptions, nodes, known, depth)
         span = facts.agg(F.min("partition_date").alias("first"), F.max("partition_date").alias("last")).first()
         if span["first"] is None:
             return
-        before = self.requests.read(span["first"], span["last"], besides=batch_id)
-        self.requests.add(conditions.replay_requests(asked, before), batch_id)
+        asked = conditions.push_requests(facts, subscriptions, nodes, self.index.known(facts, reach), depth)
+        if self.requests.days(span["first"], span["last"]):
+            before = self.requests.read(span["first"], span["last"], besides=batch_id)
+            asked = conditions.replay_requests(asked, before)
+        self.requests.add(asked, batch_id)
         self.requests.compact(span["first"], span["last"])
 
     def rows(self) -> DataFrame:
@@ -157,7 +158,7 @@ def push_evaluation(spark: SparkSession, facts: DataFrame, subscriptions: DataFr
         tables.index.add(history, -1)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.persist()
+        arrived = batch.select(*tables.index.columns).persist()
         tables.index.add(arrived, batch_id)
         tables.emit(arrived, subscriptions, nodes, depth, reach, batch_id)
         tables.index.compact(arrived)
