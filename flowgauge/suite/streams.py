@@ -143,7 +143,7 @@ def _(v):
     emitted = cut_lineage(emitted)
     jobs.record_late(tables, v.facts.where("event_id % 13 = 0"), 1)
     jobs.replay_late(v.spark, tables, subs, tree, dt.datetime.fromisoformat(FACTS_NOW))
-    return tables.rows().join(emitted, "run_name", "left_anti")
+    return tables.rows().join(emitted.hint("merge"), "run_name", "left_anti")
 
 
 @query("r10_sliding_success", """
