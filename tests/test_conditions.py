@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from flowgauge.operators import asof, conditions
+from flowgauge.session import cut_lineage
 
 
 def test_a_start_is_named_once_and_not_for_each_fact(spark, monkeypatch):
@@ -81,3 +82,10 @@ def test_stretches_answer_as_the_events_do(spark):
     firsts = facts.groupBy("asset_name", "partition_date").agg(F.min("event_time").alias("event_time"))
     found = asof.within_ready_as_of(probes, firsts, asof.stretches(facts, probes)).select(*keep).collect()
     assert {tuple(r) for r in found} == want and {r.ready for r in found} == {True, False}
+
+
+def test_started_names_are_merged_by_shuffle(spark):
+    asked = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_name string, n int")
+    fresh = conditions.replay_requests(asked, cut_lineage(spark.createDataFrame([("r1",)], "run_name string")))
+    assert "Broadcast" not in fresh._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in fresh.collect()] == [("r2", 2)]

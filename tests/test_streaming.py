@@ -202,6 +202,15 @@ def test_what_a_batch_reads_does_not_grow(spark):
     assert max(read.values()) <= 1 + 62 // 4 + 1 and len(index.events.days()) == 36
 
 
+def test_what_facts_are_judged_by_is_read_as_it_is(spark):
+    """Events are not made distinct first: least and greatest times are the same."""
+    index = FactIndex(spark, tempfile.mkdtemp(prefix="run-") + "/index")
+    reach = Reach(spark.createDataFrame([(24.0, 1)], "freshness_hours double, consecutive_days int"))
+    index.add(facts(spark, 10), 0)
+    known = index.known(facts(spark, 10), reach)
+    assert not known.isEmpty() and "Exchange" not in known._jdf.queryExecution().executedPlan().toString()
+
+
 def test_days_are_merged_when_they_are_crowded(spark):
     shape = spark.createDataFrame([], "name string, at timestamp_ntz").schema
     table = DayTable(spark, tempfile.mkdtemp(prefix="run-") + "/t", shape, "at", lambda rows: rows.distinct())
